@@ -11,9 +11,15 @@ from periodiq.llm.mixing import mix_report, mix_sources
 from periodiq.llm.packing import container_assignments, pack_bins, packing_report
 from periodiq.llm.residue import residue
 from periodiq.llm.tokens import token_sizes
+from periodiq.llm.variants import link_variants
 from periodiq.session import table
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    bib = table(spark, sf, "bibtex_entries")
+    return link_variants([(bib, "journal_name"), (bib, "booktitle"), (table(spark, sf, "journal_names"), "name")])
+
+
 def p8_assignments(spark: SparkSession, sf: str) -> DataFrame:
     sizes = token_sizes(table(spark, sf, "documents"))
     return container_assignments(pack_bins(sizes, table(spark, sf, "container_specs")))
@@ -42,6 +48,7 @@ def p10_reasons(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p6_found": p6_found,
     "p8_assignments": p8_assignments,
     "p8_report": p8_report,
     "p9_mix": p9_mix,
