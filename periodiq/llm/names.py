@@ -165,6 +165,23 @@ def near(a: str, b: str) -> bool:
     return a[i:] == b[i + 1 :]
 
 
+@lru_cache(maxsize=1 << 16)
+def near_twice(a: str, b: str) -> bool:
+    """Two edits apart in long words that begin alike."""
+    if min(len(a), len(b)) < 9 or abs(len(a) - len(b)) > 2 or a[:2] != b[:2]:
+        return False
+    before, row = None, list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            d = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y))
+            if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d = min(d, before[j - 2] + 1)
+            new.append(d)
+        before, row = row, new
+    return row[-1] <= 2
+
+
 def _inside(a: str, b: str) -> bool:
     """Whether the letters of a stand in b in order."""
     it = iter(b)
@@ -183,7 +200,11 @@ def token_match(a: str, b: str) -> int:
     if lx >= 5 and near(x, y):
         # plural forms name other venues; a dotted word may be cut there
         return 0 if y == x + "s" and not a.endswith(".") and ly < 12 and x + "s" in ("workshops", "letters", "reports", "posters") else 2
-    if x[0] != y[0] or lx == ly:
+    if x[0] != y[0]:
+        return 0
+    if near_twice(x, y):
+        return 2
+    if lx == ly:
         return 0
     if y.startswith(x):
         return 1

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from periodiq.llm.canonical import map_values, mapped_entries
 from periodiq.llm.mixing import mix_report, mix_sources
 from periodiq.llm.packing import container_assignments, pack_bins, packing_report
 from periodiq.llm.residue import residue
@@ -20,6 +21,17 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return link_variants([(bib, "journal_name"), (bib, "booktitle"), (table(spark, sf, "journal_names"), "name")])
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    d = mapped_entries(table(spark, sf, "bibtex_entries"), "entry_id", "journal_name", table(spark, sf, "venue_acronyms"), table(spark, sf, "venue_acronym_variants"))
+    return d.select("entry_id", F.col("ref").alias("venue_acronym_id"))
+
+
+def p7_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    bib = table(spark, sf, "bibtex_entries")
+    m = map_values(bib, "journal_name", table(spark, sf, "venue_acronyms"), table(spark, sf, "venue_acronym_variants"))
+    return bib.groupBy("journal_name").agg(F.count("*").alias("entries")).join(m.where("ref is null"), F.col("journal_name") == F.col("value")).select("journal_name", "entries")
+
+
 def p8_assignments(spark: SparkSession, sf: str) -> DataFrame:
     sizes = token_sizes(table(spark, sf, "documents"))
     return container_assignments(pack_bins(sizes, table(spark, sf, "container_specs")))
@@ -49,6 +61,8 @@ def p10_reasons(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p7_unmatched": p7_unmatched,
     "p8_assignments": p8_assignments,
     "p8_report": p8_report,
     "p9_mix": p9_mix,
