@@ -151,14 +151,29 @@ def name_classes(read: DataFrame) -> DataFrame:
     use = F.filter("r", lambda x, i: (i == 0) | (~x["dull"] & (x["weight"] <= rare)))
     blocks = ranked.select("key", F.explode(F.array_distinct(F.transform(use, lambda x: x["rep"]))).alias("block"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = []
-        for k, s, n in zip(pdf["key"].tolist(), pdf["longest"].tolist(), pdf["n"].tolist(), strict=True):
-            names.append((k, read_name(s), n))
-        return pd.DataFrame(cluster_names(names), columns=["key", "hub", "kind"])
-
-    edges = blocks.join(keys, "key").groupBy("block").applyInPandas(run, "key string, hub string, kind string")
-    return classes_of(keys.select("key"), materialize(edges.where("key <> hub").select("key", "hub").distinct()))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # blocks arrive in order; most are tiny, so they share frames
+        at, held, out = None, [], []
+
+        def close() -> None:
+            if len(held) > 1:
+                out.extend(e[:2] for e in cluster_names([(k, read_name(t), n) for k, t, n in held]) if e[2] != "hub")
+
+        for pdf in batches:
+            for block, k, t, n in zip(*(pdf[c].tolist() for c in ("block", "key", "longest", "n")), strict=True):
+                if block != at:
+                    close()
+                    at, held = block, []
+                held.append((k, t, n))
+            if out:
+                yield pd.DataFrame(out, columns=["key", "hub"])
+                out = []
+        close()
+        yield pd.DataFrame(out, columns=["key", "hub"])
+
+    ordered = blocks.join(keys, "key").repartition("block").sortWithinPartitions("block", "key")
+    edges = ordered.select("block", "key", "longest", "n").mapInPandas(run, "key string, hub string")
+    return classes_of(keys.select("key"), materialize(edges.where("key <> hub").distinct()))
 
 
 def classes_of(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
