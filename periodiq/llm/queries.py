@@ -8,12 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from periodiq.llm.canonical import map_values, mapped_entries
+from periodiq.llm.linking import link_entities
 from periodiq.llm.mixing import mix_report, mix_sources
 from periodiq.llm.packing import container_assignments, pack_bins, packing_report
 from periodiq.llm.residue import residue
+from periodiq.llm.survivor import field_truths, survivors
 from periodiq.llm.tokens import token_sizes
 from periodiq.llm.variants import link_variants
-from periodiq.session import table
+from periodiq.llm.venues import venue_classes
+from periodiq.session import materialize, table
+
+
+def p3_links(spark: SparkSession, sf: str) -> DataFrame:
+    d = link_entities(table(spark, sf, "journals"), table(spark, sf, "openalex_cache"))
+    return d.select(F.col("left_id").alias("journal_id"), F.col("right_id").alias("openalex_cache_id"), "score", "confidence")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_links(spark, sf).select("journal_id", "openalex_cache_id")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    journals = table(spark, sf, "journals")
+    classes = materialize(venue_classes(journals, "id", "display_name", ("issn", "eissn")))
+    return survivors(field_truths(journals, classes))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,6 +78,9 @@ def p10_reasons(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
+    "p3_links": p3_links,
+    "p4_found": p4_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_unmatched": p7_unmatched,
