@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 def _one(df: DataFrame, keys: Sequence[str], order: Column, pick) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
-    row = F.struct(order.alias("_order"), *[F.col(c) for c in rest])
-    return df.groupBy(*keys).agg(pick(row).alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
+    # fields by place, so no column name can clash with another
+    row = F.struct(order.alias("o"), *[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(rest)])
+    one = df.groupBy(*keys).agg(pick(row).alias("_row"))
+    return one.select(*keys, *[F.col("_row")[f"f{i}"].alias(c) for i, c in enumerate(rest)]).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:

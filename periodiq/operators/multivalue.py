@@ -117,7 +117,7 @@ def _complete(part: str) -> bool:
     words = part.split()
     if len(words) < 2 or words[0] in _PARTICLE or words[0].lower() in ("van", "von", "de"):
         return False
-    return not _INITIALS.match(part)
+    return not (_INITIALS.match(part) and part == part.upper())
 
 
 def _commas(item: str) -> list[str]:
