@@ -1,9 +1,11 @@
 """Mapping free-entered values to a canonical list (problem 7).
 
-Reference entries hang in a BK-tree by their anchor, the token that the fewest
+Reference entries hang in BK-trees by their anchor, the token that the fewest
 entries share; the metric is the Levenshtein distance, so the triangle
-inequality prunes the tree and a search returns every entry whose anchor lies
-within the threshold of a token of the value. An optimal token assignment then
+inequality prunes a tree and a search returns every entry whose anchor lies
+within the threshold of a token of the value. The trees are sharded by a third
+of the anchor: within two edits one third stays whole, moved by at most two, so
+a search enters only the shards that share one, and misses nothing. An optimal token assignment then
 decides which of these the value denotes. Within a bound on its size the
 reference is broadcast; beyond, it is cut into shards, every value is searched
 in every shard, and the shard winners merge by one aggregation.
@@ -76,6 +78,36 @@ class BKTree:
         return out
 
 
+class ShardedTree:
+    """BK-trees by (length, part, letters of the part); exact up to two edits."""
+
+    MOST = 2
+
+    def __init__(self) -> None:
+        self.shards: dict[tuple[int, int, str], BKTree] = {}
+
+    @staticmethod
+    def parts(n: int) -> list[tuple[int, int]]:
+        """(start, end) of the thirds of a word of n letters."""
+        a, b = n // 3, 2 * n // 3
+        return [(0, a), (a, b), (b, n)]
+
+    def add(self, word: str) -> None:
+        for k, (i, j) in enumerate(self.parts(len(word))):
+            self.shards.setdefault((len(word), k, word[i:j]), BKTree()).add(word)
+
+    def within(self, word: str, threshold: int) -> list[tuple[str, int]]:
+        t = min(threshold, self.MOST)
+        trees: dict[int, BKTree] = {}
+        for n in range(max(1, len(word) - t), len(word) + t + 1):
+            for k, (i, j) in enumerate(self.parts(n)):
+                for at in range(max(0, i - t), i + t + 1):
+                    tree = self.shards.get((n, k, word[at : at + j - i]))
+                    if tree is not None:
+                        trees[id(tree)] = tree
+        return sorted({hit for tree in trees.values() for hit in tree.within(word, t)})
+
+
 class Reference:
     """A shard of the reference list: (id, canonical or variant, acronym)."""
 
@@ -91,7 +123,7 @@ class Reference:
         for words in of.values():
             shared.update(words)
         self.by_anchor: dict[str, list[int]] = {}
-        self.tree = BKTree()
+        self.tree = ShardedTree()
         for i, n in read:
             anchor = min((t.rstrip(".") for t in n.tokens), key=lambda t: (len(t) < 4, generic(t), shared[t], -len(t), t))
             held = self.by_anchor.setdefault(anchor, [])
@@ -191,6 +223,7 @@ def map_values(
             return _search(Reference(rows, acronyms))(left["v"].tolist())
 
         found = asked.groupBy("shard", "part").cogroup(spread.groupBy("shard", "part")).applyInPandas(pair, _OUT)
+    found = materialize(found)  # the search is the costly part: once, whatever the plan makes of the joins
     rank = F.when(F.col("kind").isin("full", "acronym"), 3).when(F.col("kind") == "short", 2).when(F.col("kind") == "cut", 1).otherwise(0)
     top = found.groupBy("v").agg(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "score", (-F.col("ref")).alias("neg"), "kind", "rivals")), asc=False).alias("w"))
     first, second = F.get("w", F.lit(0)), F.get("w", F.lit(1))
