@@ -197,7 +197,7 @@ def token_match(a: str, b: str) -> int:
     if len(x) > len(y):
         x, y, a, b = y, x, b, a
     lx, ly = len(x), len(y)
-    if lx >= 5 and near(x, y):
+    if (lx >= 5 or (lx == 4 and ly == 5)) and near(x, y):
         # plural forms name other venues; a dotted word may be cut there
         return 0 if y == x + "s" and not a.endswith(".") and ly < 12 and x + "s" in ("workshops", "letters", "reports", "posters") else 2
     if x[0] != y[0]:
