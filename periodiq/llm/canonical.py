@@ -134,7 +134,7 @@ class Reference:
 
     def anchors(self, token: str) -> list[str]:
         if token not in self.cache:
-            threshold = 0 if len(token) < 5 else 1 if len(token) < 8 else 2
+            threshold = 0 if len(token) < 4 else 1 if len(token) < 6 else 2
             self.cache[token] = [w for w, _ in self.tree.within(token, threshold)]
         return self.cache[token]
 

@@ -91,7 +91,7 @@ def mix_sources(
         return spark.createDataFrame([], schema)
     total = sum(supply[x[0]][0] for x in t) if total_tokens is None else total_tokens
     block = max(1, min(block_tokens, int(total // (8 * len(t))) or 1))
-    caps = [supply[s][0] * m // block for s, _, m in t]
+    caps = [-(-supply[s][0] * m // block) for s, _, m in t]
     quota = sainte_lague([w for _, w, _ in t], int(total // block), caps)
 
     plan = spark.createDataFrame(

@@ -14,14 +14,16 @@ ever sees all items. Every text takes at least one place, so a bin has at most
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from periodiq.session import materialize
 
-_BIN = "container_kind string, capacity bigint, fill bigint, ids array<bigint>, pieces array<int>, sizes array<bigint>"
+_BIN = "container_id string, container_kind string, capacity bigint, fill bigint, ids array<bigint>, pieces array<int>, sizes array<bigint>"
 MAX_KINDS = 1000
 
 
@@ -59,9 +61,10 @@ class Bins:
         return out
 
 
-def _frame(kind: str, capacity: int, bins: list[tuple[int, list]]) -> pd.DataFrame:
+def _frame(kind: str, capacity: int, bins: list[tuple[int, list]], name: Iterator[str]) -> pd.DataFrame:
     return pd.DataFrame(
         {
+            "container_id": [f"{kind}-{next(name)}" for _ in bins],
             "container_kind": [kind] * len(bins),
             "capacity": [capacity] * len(bins),
             "fill": [f for f, _ in bins],
@@ -72,9 +75,15 @@ def _frame(kind: str, capacity: int, bins: list[tuple[int, list]]) -> pd.DataFra
     )
 
 
+def _names(round_no: int) -> Iterator[str]:
+    """Names of the bins that this task makes; a bin that goes on is renamed by the next round."""
+    task = TaskContext.get().partitionId()
+    return (f"{round_no}-{task}-{n}" for n in count())
+
+
 def _first_round(capacities: dict[str, int], seal: float, per_task: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_bins = {k: Bins(c) for k, c in capacities.items()}
+        open_bins, name = {k: Bins(c) for k, c in capacities.items()}, _names(0)
 
         def pack(chunk: list[tuple[int, int]]) -> Iterator[pd.DataFrame]:
             for kind, cap in capacities.items():
@@ -91,7 +100,7 @@ def _first_round(capacities: dict[str, int], seal: float, per_task: int):
                 if bins.count > per_task:
                     done += bins.take()
                 if done:
-                    yield _frame(kind, cap, done)
+                    yield _frame(kind, cap, done, name)
 
         chunk: list[tuple[int, int]] = []
         for pdf in batches:
@@ -102,13 +111,14 @@ def _first_round(capacities: dict[str, int], seal: float, per_task: int):
         yield from pack(chunk)
         for kind, cap in capacities.items():
             if rest := open_bins[kind].take():
-                yield _frame(kind, cap, rest)
+                yield _frame(kind, cap, rest, name)
 
     return run
 
 
-def _merge_round(seal: float, per_task: int):
+def _merge_round(seal: float, per_task: int, round_no: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name = _names(round_no)
         open_bins: dict[tuple[str, int], Bins] = {}
         waiting: dict[tuple[str, int], list] = {}
 
@@ -120,10 +130,10 @@ def _merge_round(seal: float, per_task: int):
             if bins.count > per_task:
                 done += bins.take()
             if done:
-                yield _frame(*k, done)
+                yield _frame(*k, done, name)
 
         for pdf in batches:
-            for kind, cap, fill, ids, pieces, sizes in pdf.itertuples(index=False, name=None):
+            for _, kind, cap, fill, ids, pieces, sizes in pdf.itertuples(index=False, name=None):
                 waiting.setdefault((kind, cap), []).append((fill, list(zip(ids, pieces, sizes, strict=True))))
             for k in [k for k, w in waiting.items() if len(w) >= per_task]:
                 yield from pack(k)
@@ -131,7 +141,7 @@ def _merge_round(seal: float, per_task: int):
             yield from pack(k)
         for k, bins in open_bins.items():
             if rest := bins.take():
-                yield _frame(*k, rest)
+                yield _frame(*k, rest, name)
 
     return run
 
@@ -144,7 +154,7 @@ def pack_bins(
     per_task: int = 20_000,
     rounds: int = 8,
 ) -> DataFrame:
-    """Bins (container_kind, capacity, fill, ids, pieces, sizes) that hold every row of sizes, for every spec.
+    """Bins (container_id, container_kind, capacity, fill, ids, pieces, sizes) that hold every row of sizes, for every spec.
 
     sizes: (key bigint, n_tokens). specs: container_kind, capacity_tokens, a
     fixed table, read to the driver within MAX_KINDS rows; null, zero and
@@ -164,24 +174,22 @@ def pack_bins(
     now = materialize(items.mapInPandas(_first_round(capacities, seal, per_task), _BIN))
     sealed = F.col("fill") >= F.ceil(F.col("capacity") * seal)
     final, before = now.where(sealed), None
-    for _ in range(rounds):
+    for round_no in range(1, rounds + 1):
         under = now.where(~sealed)
         left = under.count()
         if not left or (before is not None and (before[0] == 1 or left > 0.99 * before[1])):
             break
         tasks = max(1, -(-left // per_task))
         order = F.xxhash64(F.get("ids", F.lit(0)), F.get("pieces", F.lit(0)), "container_kind")
-        now = materialize(under.repartition(tasks, F.pmod(order, F.lit(tasks * 64))).mapInPandas(_merge_round(seal, per_task), _BIN))
+        now = materialize(under.repartition(tasks, F.pmod(order, F.lit(tasks * 64))).mapInPandas(_merge_round(seal, per_task, round_no), _BIN))
         final, before = final.unionByName(now.where(sealed)), (tasks, left)
     return final.unionByName(now.where(~sealed))
 
 
 def container_assignments(bins: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per piece: container, its fill, and the piece of the text that it holds."""
-    least = F.array_min(F.arrays_zip("ids", "pieces"))  # a piece is in one container only
-    cid = F.concat_ws(":", "container_kind", least["ids"].cast("string"), least["pieces"].cast("string"))
     member = F.inline(F.arrays_zip("ids", "pieces", "sizes"))
-    return bins.select("container_kind", "capacity", "fill", cid.alias("container_id"), member).select(
+    return bins.select("container_kind", "capacity", "fill", "container_id", member).select(
         "container_kind", "container_id", F.col("ids").alias(key), F.col("pieces").alias("piece_no"), F.col("sizes").alias("n_tokens"), "fill", "capacity"
     )
 

@@ -7,7 +7,7 @@ spellings of a name meet without pairs being formed. In a block, keys join the
 fullest name with which an optimal assignment pairs all their tokens.
 
 A key also goes to the blocks of its next two tokens if those are met in no more
-keys than the square root of all keys, so that a misspelling as its rarest word
+than 100 keys or the square root of all keys, so that a misspelling as its rarest word
 does not part it from its kin, while common words never make a block. The edges
 are star-shaped and are closed into classes by a few rounds of minimum labels.
 """
@@ -147,7 +147,7 @@ def name_classes(read: DataFrame) -> DataFrame:
     ranked = of_key.join(tokens, "token").where(F.length("rep") >= 2)
     dull = F.col("rep").isin(sorted(GENERIC)) | (F.length("rep") < 4)
     ranked = ranked.groupBy("key").agg(F.slice(F.sort_array(F.collect_set(F.struct(dull.alias("dull"), "weight", "rep"))), 1, 3).alias("r"))
-    rare = keys.count() ** 0.5
+    rare = max(100.0, keys.count() ** 0.5)
     use = F.filter("r", lambda x, i: (i == 0) | (~x["dull"] & (x["weight"] <= rare)))
     blocks = ranked.select("key", F.explode(F.array_distinct(F.transform(use, lambda x: x["rep"]))).alias("block"))
 
