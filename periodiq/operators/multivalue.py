@@ -165,7 +165,7 @@ def parse_persons(value: str) -> tuple[list[str], bool]:
                     out.append(text)
                     continue
                 # an item may hold weaker delimiters: `A B, C D and E F`
-                inner, _ = parse_persons(text) if delimiter.search(text) is None and text != s else ([text], False)
+                inner, _ = parse_persons(text) if text != s else ([text], False)
                 out.extend(inner)
             return out, error
     items, bad = _split(s, re.compile(r"(?!)"))

@@ -14,6 +14,8 @@ PERSONS = [
     ("Bo, Ann and others", ["Bo, Ann"]),
     ("{Group on A, B and C} and Cy Do", ["Group on A, B and C", "Cy Do"]),
     ('"Inst. of A and B";C. Do', ["Inst. of A and B", "C. Do"]),
+    ('A. Bo, "Inst. of A and B", C. Do, and E. Fo', ["A. Bo", "Inst. of A and B", "C. Do", "E. Fo"]),
+    ("A. Bo; C. Do and E. Fo", ["A. Bo", "C. Do", "E. Fo"]),
     ("Bo, Ann\nand Do, Cy", ["Bo, Ann", "Do, Cy"]),
     ("Bo, Ann \\& Do, Cy", ["Bo, Ann", "Do, Cy"]),
     ("Ann Bo | Cy Do", ["Ann Bo", "Cy Do"]),
