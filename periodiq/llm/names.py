@@ -167,8 +167,8 @@ def near(a: str, b: str) -> bool:
 
 @lru_cache(maxsize=1 << 16)
 def near_twice(a: str, b: str) -> bool:
-    """Two edits apart in long words that begin alike."""
-    if min(len(a), len(b)) < 9 or abs(len(a) - len(b)) > 2 or a[:2] != b[:2]:
+    """Two edits apart in long words that begin and end alike."""
+    if min(len(a), len(b)) < 7 or abs(len(a) - len(b)) > 2 or a[0] != b[0] or a[-1] != b[-1]:
         return False
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -36,7 +36,8 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     bib = table(spark, sf, "bibtex_entries")
-    return link_variants([(bib, "journal_name"), (bib, "booktitle"), (table(spark, sf, "journal_names"), "name")])
+    known = table(spark, sf, "venue_acronyms").select("acronym", F.col("canonical").alias("name"))
+    return link_variants([(bib, "journal_name"), (bib, "booktitle"), (table(spark, sf, "journal_names"), "name")], known)
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:

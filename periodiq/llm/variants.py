@@ -105,7 +105,7 @@ def cluster_names(names: list[tuple[str, Name, int]]) -> list[tuple[str, str, st
             elif fit.kind == "loose":
                 loose.append((fit.score, hub_key, hub))
         if full:
-            out.append((key, max(full)[1], "full"))
+            out.append((key, max(full, key=lambda f: f[0])[1], "full"))  # of equals the commoner, which came first
             continue
         best = sorted(part, reverse=True)
         # a broken-off name is its shortest continuation; a short form must be plain
@@ -193,19 +193,31 @@ def classes_of(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFram
     return nodes.join(label, "key", "left").select("key", F.coalesce("class", "key").alias("class"))
 
 
-def string_classes(strings: DataFrame, text: str = "s") -> DataFrame:
+def string_classes(strings: DataFrame, text: str = "s", known: DataFrame | None = None) -> DataFrame:
     """(s, class) of the distinct non-null strings; strings that name nothing are left out.
 
     A string that is only an acronym joins the class beside whose names the
-    acronym is given, if there is exactly one.
+    acronym is given, if there is exactly one; known (acronym, name) adds
+    meanings. Acronyms without a meaning form a class with their own spellings.
     """
-    distinct = strings.select(F.col(text).alias("s")).where(F.col("s").rlike(r"\p{L}")).distinct()
-    read = materialize(read_strings(distinct))
+    asked = strings.select(F.col(text).alias("s")).where(F.col("s").rlike(r"\p{L}")).distinct()
+    read = read_strings(asked).withColumn("asked", F.lit(True))
+    if known is not None:
+        told = read_strings(known.where("name is not null").select(F.col("name").alias("s")).distinct())
+        read = read.unionByName(told.withColumn("asked", F.lit(False)))
+    read = materialize(read)
     classes = materialize(name_classes(read))
-    named = materialize(read.where("key is not null").join(classes, "key").select("s", "class", "acronym"))
-    meaning = named.where("acronym is not null").groupBy("acronym").agg(F.min("class").alias("class"), F.max("class").alias("other")).where("class = other")
-    bare = read.where("bare").join(meaning.select("acronym", "class"), "acronym").select("s", "class")
-    return named.select("s", "class").unionByName(bare)
+    named = materialize(read.where("key is not null").join(classes, "key").select("s", "class", "acronym", "asked"))
+    said = named.where("acronym is not null").select("acronym", "class", F.lit(1).alias("rank"))
+    if known is not None:
+        listed = known.select(F.upper("acronym").alias("acronym"), F.col("name").alias("s")).where("acronym is not null")
+        said = said.unionByName(listed.join(named.select("s", "class").distinct(), "s").select("acronym", "class", F.lit(0).alias("rank")))
+    # what the list says goes before what stands beside names
+    best = F.min("rank").alias("rank")
+    meaning = said.join(said.groupBy("acronym").agg(best), ["acronym", "rank"]).groupBy("acronym").agg(F.min("class").alias("class"), (F.min("class") == F.max("class")).alias("one"))
+    bare = read.where("bare and asked").join(meaning, "acronym", "left").where("coalesce(one, true)")
+    bare = bare.select("s", F.coalesce("class", F.concat(F.lit("\u0001acronym "), F.col("acronym"))).alias("class"))
+    return named.where("asked").select("s", "class").unionByName(bare)
 
 
 def variant_pairs(classed: DataFrame, per_salt: int = 256) -> DataFrame:
@@ -221,15 +233,16 @@ def variant_pairs(classed: DataFrame, per_salt: int = 256) -> DataFrame:
     return left.join(right, ["class", "salt"]).where("name_a < name_b").select("name_a", "name_b")
 
 
-def link_variants(frames: list[tuple[DataFrame, str]]) -> DataFrame:
+def link_variants(frames: list[tuple[DataFrame, str]], known: DataFrame | None = None) -> DataFrame:
     """Pairs of different strings of the given columns that denote the same venue.
 
     Null and blank strings, and strings without a letter, are no names. Repeated
     strings count once. Empty tables give no rows. Very long strings are read
-    whole. Other columns are not looked at.
+    whole. Other columns are not looked at. known (acronym, name) tells what
+    acronyms stand for; its names come out only if a column holds them.
     """
     every = None
     for df, column in frames:
         d = df.select(F.col(column).alias("s")).where(F.col("s").isNotNull()).distinct()
         every = d if every is None else every.unionByName(d)
-    return variant_pairs(materialize(string_classes(every)))
+    return variant_pairs(materialize(string_classes(every, known=known)))
