@@ -71,11 +71,10 @@ def snapshot_changes(
         F.struct(F.col(version).alias("_v"), *[fields[n].cast("string").alias(n) for n in names]).alias("_r"),
     ).where("_s is not null and _k is not null")
     valid = raw.groupBy("_s", "_k").agg(F.max("_r").alias("_r"))
-    last = df.agg(F.max(snapshot).alias("_last"))  # one row
+    last = df.agg(F.max(snapshot)).scalar()
     signed = (
         valid.withColumn("_d", F.explode(F.array(F.lit(0), F.lit(1))))
-        .crossJoin(F.broadcast(last))
-        .where("_s + _d <= _last")
+        .where(F.col("_s") + F.col("_d") <= last)
         .select((F.col("_s") + F.col("_d")).cast(df.schema[snapshot].dataType).alias("_s"), "_k", (1 - 2 * F.col("_d")).alias("_sign"), "_r")
         .repartition("_s", "_k")
     )
@@ -91,13 +90,12 @@ def snapshot_changes(
         ).alias("_c"),
     ).select("_s", "_k", "_c.f", "_c.v", "_sign")
     left = cells.groupBy("_s", "_k", "f", "v").agg(F.sum("_sign").alias("n")).where("n <> 0")
-    first = df.agg(F.min(snapshot).alias("_first"))  # one row
+    first = df.agg(F.min(snapshot)).scalar()
     presence = F.sum(F.when(F.col("f").isNull(), F.col("n")))
     return (
         left.groupBy("_s", "_k")
         .agg(presence.alias("p"), F.sort_array(F.collect_set("f")).alias("fs"))
-        .crossJoin(F.broadcast(first))
-        .where("_s > _first")
+        .where(F.col("_s") > first)
         .select(
             F.col("_s").alias(snapshot),
             F.col("_k").alias(key),
