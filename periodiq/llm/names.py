@@ -122,8 +122,11 @@ def read_name(raw: str) -> Name:
             s = s[: m.start()] + " " + s[m.end() :]
             break
     s = _OCR.sub(lambda m: _OCR_LETTER[m.group()], s)
-    words = [w.lower() for w in _WORD.findall(s)]
+    shown = _WORD.findall(s)
+    words = [w.lower() for w in shown]
     small = [w.rstrip(".") in STOP for w in words]
+    if cut and len(words) > 1 and small[-1] and shown[-1][0].isupper() and not shown[0].islower():
+        small[-1] = False  # the beginning of a name, not a small word
     tokens = [w for w, x in zip(words, small, strict=True) if not x]
     joined = [i > 0 and small[i - 1] for i, x in enumerate(small) if not x]
     open_end = bool(small) and small[-1]
@@ -277,6 +280,18 @@ def _begins(x: list[str], b: Name, cut: bool) -> bool:
     return n < len(y) and len(b.joined) > n and b.joined[n]
 
 
+# fixed values: words that are a kind of venue in front of a subject, and a sister's mark behind it
+_DOUBLE = frozenset("letters reports notes papers studies".split())
+
+
+def _is_kind(b: Name, j: int) -> bool:
+    """Whether a generic word tells the kind: one that may mark a sister does only if a small word follows it, or in front."""
+    w = b.tokens[j].rstrip(".")
+    if not any(w == d or (len(w) < len(d) and token_match(w, d)) for d in _DOUBLE):
+        return True
+    return j == 0 or (j + 1 < len(b.joined) and b.joined[j + 1])
+
+
 def align(a: Name, b: Name) -> Fit:
     """How the names fit. b is taken as the fuller one if their lengths differ."""
     if not a.tokens or not b.tokens:
@@ -296,7 +311,7 @@ def align(a: Name, b: Name) -> Fit:
     left = set(range(len(y))) - set(partner)
     named = max((j for j in range(len(y)) if j not in left), default=-1)
     # kinds of venue may be left out, never a word that makes a sister of it
-    if len(x) >= 2 and all(generic(y[j]) and (j < named or _closes(y[j])) for j in left) and sum(not generic(t) for t in x) >= 2:
+    if len(x) >= 2 and all(generic(y[j]) and (j < named or _closes(y[j])) and _is_kind(b, j) for j in left) and sum(not generic(t) for t in x) >= 2:
         return Fit("short", points / (3.0 * len(x)) * share)
     # two words that name it, the rest left out: only good if nothing else in reach fits
     if len(x) >= 2 and all(token_match(x[i], y[j]) >= 2 for i, j in enumerate(partner)) and sum(not generic(t) for t in x) >= 2 and any(generic(y[j]) and (j < named or _closes(y[j])) for j in left):

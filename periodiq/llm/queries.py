@@ -20,7 +20,9 @@ from periodiq.session import materialize, table
 
 
 def p3_links(spark: SparkSession, sf: str) -> DataFrame:
-    d = link_entities(table(spark, sf, "journals"), table(spark, sf, "openalex_cache"))
+    journals = table(spark, sf, "journals")
+    classes = materialize(venue_classes(journals, "id", "display_name", ("issn", "eissn")))
+    d = link_entities(journals, table(spark, sf, "openalex_cache"), left_classes=classes)
     return d.select(F.col("left_id").alias("journal_id"), F.col("right_id").alias("openalex_cache_id"), "score", "confidence")
 
 
