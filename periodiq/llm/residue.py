@@ -128,9 +128,10 @@ _LATIN = (
     "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed eiusmod tempor incididunt labore dolore magna aliqua "
     "enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure "
     "reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia "
-    "deserunt mollit anim laborum pellentesque vestibulum curabitur facilisi lacinia porttitor sagittis ultrices ornare suspendisse vivamus mauris"
+    "deserunt mollit anim laborum pellentesque vestibulum curabitur facilisi lacinia porttitor sagittis ultrices ornare suspendisse vivamus mauris "
+    "fermentum nunc vel nec non quam erat eget morbi nullam etiam praesent donec cras proin integer aenean phasellus maecenas fusce viverra lectus"
 ).split()
-LATIN_RUN = rf"(?i)\blorem\s+ipsum(?:[\s,.]+(?:{'|'.join(_LATIN)})\b){{3,}}|\b(?:(?:{'|'.join(w for w in _LATIN if len(w) > 4)})[\s,.]+){{5,}}"
+LATIN_RUN = rf"(?i)\blorem\s+ipsum(?:[\s,.]+(?:{'|'.join(_LATIN)})\b){{3,}}|\b(?:(?:{'|'.join(w for w in _LATIN if len(w) > 2)})[\s,.]+){{5,}}"
 # fixed values: sentences of filler in the languages of the corpus
 _FILLER = (
     r"(?:.{0,30}\b(?:sample|dummy|filler|placeholder|demo|default|blind) (?:text|copy|paragraph|content|theme)\b[^.!?]{0,50}"
@@ -160,7 +161,7 @@ _ERROR = (
     r"|this site is down for (?:scheduled )?maintenance|site en maintenance|wegen wartungsarbeiten nicht verfügbar|sitio en mantenimiento|under construction(?: - come back soon)?|we will be back shortly"
     r"|error establishing a database connection|connexion à la base de données impossible|verbindung zur datenbank fehlgeschlagen|no se pudo conectar con la base de datos"
     r"|(?:sqlstate\[|warning: \w+\(|fatal error|parse error|traceback \(most recent|uncaught \w*(?:error|exception)|java\.[\w.]+exception)[^\n]*?(?=\.\s|\n|(?:reference #|request id|try again|home \||go back|nginx|apache|we apolog|if the problem)|$)"
-    r"|dns lookup failed(?: for the requested name)?|the connection (?:to [\w.]{1,40} )?was reset|upstream request timeout|(?:the )?request timed out|this site can[’']t be reached"
+    r"|dns lookup failed(?: for the requested name)?|the connection (?:to [\w. ]{1,40} )?was reset|upstream request timeout|(?:the )?request timed out|this site can[’']t be reached"
     r"|this domain (?:name )?(?:has expired|is for sale|is parked)|the account for this site has been suspended"
     r"|(?:your session has expired|votre session a expiré|ihre sitzung ist abgelaufen|su sesión ha caducado)(?:, (?:veuillez vous reconnecter|inicie sesión de nuevo))?"
     r"|too many requests|rate limit exceeded(?:, retry after \d+ s)?|please slow down and try again in \d+ seconds|invalid security token|index of /[\w/]*(?: - parent directory)?"
@@ -195,6 +196,7 @@ def _page_parts(docs: DataFrame, key: str, text: str) -> DataFrame:
     head = F.regexp_replace("rest", r"§[\s\S]*$", "")
     capital = F.regexp_count(head, F.lit(r"(?<!\p{L})\p{Lu}")) >= F.regexp_count(head, F.lit(r"(?<!\p{L})\p{Ll}\p{L}{3,}"))
     covered = F.coalesce(F.col("rest").rlike(COVERED), F.lit(False))
+    shown = F.trim(F.coalesce(F.when(F.col("rest").rlike(TITLED), head), F.col("s")))
     return d.select(
         "_key",
         "pos",
@@ -203,7 +205,8 @@ def _page_parts(docs: DataFrame, key: str, text: str) -> DataFrame:
         covered.alias("whole"),
         F.col("s").rlike(rf"(?i)^(?:[\s.!?]*(?:{_FURNITURE}))+[\s.!?]*$").alias("furniture"),
         (((F.length("s") < 400) & F.col("s").rlike(FILLER) & ~F.col("s").rlike(_SAID)) | F.col("s").rlike(FILLER_RUN)).alias("filler"),
-        (F.size(F.split(F.coalesce(F.when(F.col("rest").rlike(TITLED), head), F.col("s")), r"\s+")) <= 16).alias("brief"),
+        F.size(F.split(shown, r"\s+")).alias("words"),
+        ((F.size(F.split(shown, r"\s+")) <= 6) | (F.regexp_count(shown, F.lit(r"(?<!\p{L})\p{Lu}")) >= F.regexp_count(shown, F.lit(r"(?<!\p{L})\p{Ll}\p{L}{3,}")))).alias("titular"),
     )
 
 
@@ -219,11 +222,13 @@ def message_pages(parts: DataFrame, furniture_share: float = 0.5) -> DataFrame:
         marked.groupBy("_key")
         .agg(
             F.count_if("other").alias("others"),
-            F.min(F.when(F.col("other"), F.col("pos"))).alias("title_at"),
+            F.max(F.when(F.col("other"), F.col("pos"))).alias("title_end"),
             F.min("pos").alias("start"),
-            F.max(F.when(F.col("other") & ~F.col("brief"), True)).alias("long"),
+            F.sum(F.when(F.col("other"), F.col("words"))).alias("title_words"),
+            F.count_if(F.col("other") & ~F.col("titular")).alias("spoken"),
         )
-        .where("others = 0 or (others = 1 and title_at = start and long is null)")
+        # a title may be cut at its abbreviations, so it is all that stands in front
+        .where("others = 0 or (spoken = 0 and title_words <= 16 and title_end - start < others)")
         .select("_key")
     )
 
