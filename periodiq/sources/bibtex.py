@@ -43,8 +43,8 @@ def latex_text(value: str) -> str:
     return " ".join(s.replace("{", "").replace("}", "").split())
 
 
-def _value(text: str, i: int) -> tuple[str, int]:
-    """A value that starts at i, and where it ends; parts joined by # are put together."""
+def _value(text: str, i: int, strings: dict[str, str]) -> tuple[str, int]:
+    """A value that starts at i, and where it ends; parts joined by # are put together, names of strings replaced."""
     out = []
     while True:
         while i < len(text) and text[i].isspace():
@@ -82,7 +82,7 @@ def _value(text: str, i: int) -> tuple[str, int]:
             m = re.compile(r"[^\s,#}{)]+").match(text, i)
             if not m:
                 raise ValueError("value missing")
-            out.append(m.group())
+            out.append(strings.get(m.group().lower(), m.group()))
             i = m.end()
         m = re.compile(r"\s*#").match(text, i)
         if not m:
@@ -106,8 +106,8 @@ def parse_entries(text: str) -> Iterator[tuple[str, str | None, dict[str, str] |
                 key, i = k.group(1), k.end()
             fields: dict[str, str] = {}
             while f := _FIELD.match(text, i):
-                v, i = _value(text, f.end())
-                fields.setdefault(f.group(1).lower(), strings.get(v.lower(), v))
+                v, i = _value(text, f.end(), strings)
+                fields.setdefault(f.group(1).lower(), v)
             end = re.compile(r"\s*,?\s*[})]").match(text, i)
             if not end:
                 raise ValueError("entry not closed")

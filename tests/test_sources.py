@@ -113,7 +113,7 @@ def test_bibtex(spark, tmp_path):
     (tmp_path / "b.bib").write_bytes("@article{l1, journal = {Caf\xe9}}".encode("latin-1"))
     d = spark.read.format("bibtex").load(str(tmp_path))
     got = rows(d.select("entry_key", venue_of(F.col("fields"))))
-    assert got == [("k1", "J. of X"), ("k2", "A Big Conf 2" if False else "abc 2"), ("k3", "Zéro"), ("l1", "Café")] or got[1][1] == "A Big Conf 2"
+    assert got == [("k1", "J. of X"), ("k2", "A Big Conf 2"), ("k3", "Zéro"), ("l1", "Café")]
     assert latex_text('On {\\"U}ber \\& $x^2$ \\emph{a {b}}') == "On Über & a b"
     assert [e[3] is None for e in parse_entries(BIB)].count(False) == 1
     put(tmp_path, "c.bib", "@article{x, title = {open")
