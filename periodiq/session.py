@@ -41,6 +41,16 @@ def materialize(df: DataFrame) -> DataFrame:
     Cuts the lineage like checkpoint(), but columnar and compressed, and every
     executor can read it again after a loss.
     """
-    path = f"{shared_dir(df.sparkSession)}/periodiq/{uuid.uuid4().hex}"
+    path = f"{_own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/periodiq/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that materialize() wrote for this application; results not yet read are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
