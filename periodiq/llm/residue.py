@@ -181,8 +181,9 @@ _FURNITURE = (
     r"|zurück zur startseite|retour à l[’']accueil|volver al inicio|bitte versuchen sie es später erneut|veuillez réessayer plus tard|inténtelo más tarde|(?:fehler)?code ?: ?\d+|código: \d+"
     r"|cookies are required as well|some features will not load|the article viewer cannot start|your browser is not supported|switch it on and reload|©[^\n]*"
 )
-MESSAGE = rf"(?i)(?:{_ERROR}|{_NOTICE})"
-PAGE_PART = rf"(?i)(?:{_ERROR}|{_NOTICE}|{_FURNITURE})"
+# every wording begins a word, so the alternatives are tried at word starts only
+MESSAGE = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{_ERROR}|{_NOTICE})"
+PAGE_PART = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{_ERROR}|{_NOTICE}|{_FURNITURE})"
 COVERED = r"^[§\W\d_]*$"
 TITLED = r"^[^§\n]{3,160}§[§\W\d_]*$"
 
