@@ -84,7 +84,8 @@ def mix_sources(
     if len(rows) > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} targets")
     texts = sizes.select(F.col(source).alias("_s"), F.col(key).alias("_k"), "n_tokens").where("n_tokens > 0")
-    texts = texts.where(F.col("_s").isin([r[0] for r in rows]) if rows else F.lit(False))
+    # sizes cost a pass of the tokenizer: once, for the supply and the shards
+    texts = materialize(texts.where(F.col("_s").isin([r[0] for r in rows]) if rows else F.lit(False)))
     supply = {r[0]: (r[1], r[2]) for r in texts.groupBy("_s").agg(F.sum("n_tokens"), F.count("*")).collect()}
     t = sorted((r[0], float(r[1]), int(r[2])) for r in rows if r[0] in supply)
     if not t:
