@@ -5,7 +5,8 @@ all attributes (name words as corrected by the corpus, word beginnings, serial
 numbers, publisher words) and every distinct record of the left table is a BM25
 query. Pruning is exact: a term's greatest impact is known from its postings, so
 a query need only visit its rarest terms, up to the point where the rest
-together cannot lift a record above the score sought.
+together cannot lift a record to the least score that is accepted, and of a
+posting only records that have as much from that term on.
 
 A pair stands if each record is among the other's nearest, with room for the
 several listings and twins that one venue may have on either side. Confidence
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from periodiq.llm.identifiers import issn_digits
@@ -114,10 +115,10 @@ def link_entities(
 ) -> DataFrame:
     """(left_id, right_id, score, confidence) of pairs that describe one entity.
 
-    Each side names its key, name, serial numbers and publisher. Retrieval finds
-    every record that scores at least `exact` of what the query's name scores
-    by itself, and every record that shares a serial number or one of its
-    rarest words; of these, those below `floor` are no candidates. near is
+    Each side names its key, name, serial numbers and publisher. Candidates are
+    all records that score at least `floor` of what the query's name scores by
+    itself; the pruning is exact down to that score, and a lower `exact` only
+    visits more. Terms that no record of the right table has are not visited. near is
     the share of the best score that a nearest record must reach, on both sides;
     near_aligned is that share where the names align in full, since the numbers
     of a well-kept twin raise the best score. The calibration is fitted on at
@@ -142,29 +143,34 @@ def link_entities(
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     share = F.when(F.col("kind") == "p", 0.5).when(F.col("kind") == "u", 0.6).otherwise(1.0)
     impact = share * idf * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("len") / F.lit(mean)))
-    postings = materialize(d_terms.join(dfs, ["term", "kind"]).join(lengths, "pid").select(F.col("pid").alias("d"), "term", "kind", impact.alias("w")))
-    bounds = dfs.join(postings.groupBy("term", "kind").agg(F.max("w").alias("bound")), ["term", "kind"])
+    postings = materialize(d_terms.join(dfs, ["term", "kind"]).join(lengths, "pid").select(F.col("pid").alias("d"), "term", "kind", "df", impact.alias("w")))
+    # the terms of a record in one order, from the rarest; left is what it has from a term on
+    order = Window.partitionBy("d").orderBy(F.desc("df"), F.desc("term"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = postings.withColumn("left", F.sum("w").over(order))
+    bounds = ordered.groupBy("term", "kind", "df").agg(F.max("w").alias("bound"), F.max("left").alias("reach"))
     unseen = float(np.log(1 + n_docs)) * (K1 + 1) / (1 + K1 * (1 - B))
-    q = q_terms.join(bounds, ["term", "kind"], "left").withColumn("known", F.col("bound").isNotNull())
+    q = q_terms.join(bounds, ["term", "kind"], "left")
     weight = F.coalesce("bound", F.lit(unseen) * share)
     # what the record would score in a document of mean length, the measure of theta
     typical = share * F.coalesce(F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(float(np.log(1 + n_docs))))
+    named = F.col("kind").isin("n", "p", "a")
     own = q.groupBy("pid").agg(
-        F.sum(F.when(F.col("kind").isin("n", "p", "a"), typical)).alias("name_typical"),
+        F.sum(F.when(named, typical)).alias("name_typical"),
         F.sum(typical).alias("typical"),
-        F.sum(F.when(F.col("kind").isin("n", "p", "a"), weight)).alias("name_own"),
+        F.sum(F.when(named, weight)).alias("name_own"),
         F.sum(weight).alias("own"),
-        F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "kind", F.coalesce("bound", F.lit(0.0)).alias("bound")))).alias("ts"),
+        F.array_sort(F.collect_list(F.when(F.col("df") > 0, F.struct("df", "term", "kind", "bound", "reach")))).alias("ts"),
     )
     typical_name = F.coalesce("name_typical", F.col("typical"))
-    own = own.withColumn("theta", F.lit(floor) * typical_name).withColumn("sure", F.lit(exact) * typical_name)
-    # numbers and the rarest words always (the next three if in no more records than the square root of all), and on
-    # from the rarest until all commoner terms together stay below `sure`
+    own = own.withColumn("theta", F.lit(floor) * typical_name).withColumn("sure", F.lit(min(exact, floor)) * typical_name - F.lit(1e-9))
+    # a term is visited unless what the query has from it on, or any record has from it on, stays below `sure`
     rest = lambda i: F.aggregate(F.slice("ts", i + 1, F.size("ts")), F.lit(0.0), lambda acc, t: acc + t["bound"])
-    named = F.filter(F.slice(F.filter("ts", lambda t: t["kind"].isin("n", "p", "a")), 1, 4), lambda t, i: (i == 0) | (t["df"] <= n_docs**0.5))
-    needed = F.filter("ts", lambda t, i: rest(i) >= F.col("sure"))
-    visit = own.select("pid", F.explode(F.array_distinct(F.concat(named, F.filter("ts", lambda t: t["kind"] == "i"), needed))).alias("t")).where("t.df > 0")
-    found = visit.select(F.col("pid").alias("q"), F.col("t.term").alias("term"), F.col("t.kind").alias("kind")).join(postings, ["term", "kind"]).select("q", "d").distinct()
+    terms = F.transform("ts", lambda t, i: F.struct(t["term"].alias("term"), t["kind"].alias("kind"), t["reach"].alias("reach"), rest(i).alias("rest"), (rest(i) - t["bound"]).alias("after")))
+    visit = own.select(F.col("pid").alias("q"), "sure", F.explode(F.filter(terms, lambda t: (t["rest"] >= F.col("sure")) & (t["reach"] >= F.col("sure")))).alias("t"))
+    met = visit.select("q", "sure", "t.term", "t.kind", "t.after").join(ordered.select("d", "term", "kind", "w", "left"), ["term", "kind"]).where("left >= sure")
+    # visited terms come first in both orders, so these bounds hold for all that a pair shares
+    most = F.sum("w") + F.least(F.min("after"), F.min(F.col("left") - F.col("w")))
+    found = met.groupBy("q", "d").agg(most.alias("most"), F.max("sure").alias("sure")).where("most >= sure").select("q", "d")
     q_side = own.select(F.col("pid").alias("q"), F.transform("ts", lambda t: F.concat(t["kind"], t["term"])).alias("qt"), "theta", "own", "name_own")
     d_side = postings.groupBy("d").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", "term"), "w"))).alias("dw"))
     got = F.transform("qt", lambda t: F.struct(t.alias("t"), F.coalesce(F.try_element_at("dw", t), F.lit(0.0)).alias("w")))

@@ -1,4 +1,6 @@
+import random
 from datetime import datetime
+from itertools import product
 
 import numpy as np
 
@@ -40,6 +42,19 @@ def test_links_against_brute_force(spark):
     assert set(pairs(spark, left, right, exact=0.0)) == want  # visits every posting
 
 
+def test_links_found_by_common_words_alone(spark):
+    # every place is misspelt beyond correction, so only words of a quarter of all records are shared
+    rng, places = random.Random(3), []
+    for _ in range(64):
+        places.append("".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(5)))
+    words = [("Applied", "Formal", "Nautical", "Sacred"), ("Optics", "Geodesy", "Virology", "Phonetics"), ("Dynamics", "Ecology", "Tomography", "Rhetoric")]
+    subjects = [" ".join(t) for t in product(*words)]
+    right = [(100 + i, f"{p} Journal of {s}", None, None, None, "y") for i, (p, s) in enumerate(zip(places, subjects, strict=True))]
+    left = [(i, f"{p[:2]}x{p[3]}x{p[5:]} Journal of {s}", None, None, None, "x") for i, (p, s) in enumerate(zip(places, subjects, strict=True))]
+    want = {(i, 100 + i) for i in range(64)}
+    assert set(pairs(spark, left, right)) == want
+
+
 def test_copies_twins_sisters_and_nulls(spark):
     name = "Gidonheim Journal of Optics"
     left = [(1, name, issn(1), None, "P", ""), (2, name, issn(1), None, "P", ""), (3, f"{name} Letters", issn(2), None, "P", ""), (4, None, issn(1), None, None, ""), (5, None, None, None, None, ""), (6, "", "", "", "", "")]
