@@ -1,11 +1,13 @@
 """Mapping free-entered values to a canonical list (problem 7).
 
-Reference entries hang in BK-trees by their anchor, the token that the fewest
-entries share; the metric is the Levenshtein distance, so the triangle
-inequality prunes a tree and a search returns every entry whose anchor lies
-within the threshold of a token of the value. The trees are sharded by a third
-of the anchor: within two edits one third stays whole, moved by at most two, so
-a search enters only the shards that share one, and misses nothing. An optimal token assignment then
+Every token of the reference entries hangs in BK-trees; the metric is the
+Levenshtein distance, so the triangle inequality prunes a tree. The trees are
+sharded by a third of the word: within two edits one third stays whole, moved by
+at most two, so a search enters only the shards that share one, and misses
+nothing. Abbreviations and initials are met by the first letter. A value meets
+every entry in which all its tokens have a partner, and every shorter entry of
+whose anchor, the token that the fewest entries share, it has a partner: no pair
+that can be aligned is left out. An optimal token assignment then
 decides which of these the value denotes. Within a bound on its size the
 reference is broadcast; beyond, it is cut into shards, every value is searched
 in every shard, and the shard winners merge by one aggregation.
@@ -13,14 +15,13 @@ in every shard, and the shard winners merge by one aggregation.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from periodiq.llm.names import Name, align, generic, read_name
+from periodiq.llm.names import Name, align, read_name, token_match
 from periodiq.session import materialize
 
 MAX_BROADCAST = 50_000
@@ -112,47 +113,64 @@ class Reference:
     """A shard of the reference list: (id, canonical or variant, acronym)."""
 
     def __init__(self, rows: list[tuple[int, str, str | None]], unique_acronyms: dict[str, int]) -> None:
-        self.names: dict[int, list[Name]] = {}
         self.acronyms = unique_acronyms
-        read = [(i, n) for i, t, _ in rows if t and (n := read_name(t)).tokens and not n.bare]
-        shared = Counter()
-        of: dict[int, set[str]] = {}
-        for i, n in read:
-            of.setdefault(i, set()).update(t.rstrip(".") for t in n.tokens)
-            self.names.setdefault(i, []).append(n)
-        for words in of.values():
-            shared.update(words)
+        self.read = [(i, n) for i, t, _ in rows if t and (n := read_name(t)).tokens and not n.bare]
+        self.by_token: dict[str, list[int]] = {}
+        for at, (_, n) in enumerate(self.read):
+            for t in set(n.tokens):
+                self.by_token.setdefault(t, []).append(at)
         self.by_anchor: dict[str, list[int]] = {}
+        self.typed: dict[str, list[str]] = {}
+        self.initials: dict[str, list[str]] = {}
         self.tree = ShardedTree()
-        for i, n in read:
-            anchor = min((t.rstrip(".") for t in n.tokens), key=lambda t: (len(t) < 4, generic(t), shared[t], -len(t), t))
-            held = self.by_anchor.setdefault(anchor, [])
-            if i not in held:
-                held.append(i)
-            self.tree.add(anchor)
+        for at, (_, n) in enumerate(self.read):
+            anchor = min(n.tokens, key=lambda t: (len(self.by_token[t]), -len(t), t))
+            self.by_anchor.setdefault(anchor, []).append(at)
+        for t in self.by_token:
+            w = t.rstrip(".")
+            if w not in self.typed:
+                self.tree.add(w)
+                self.initials.setdefault(w[:1], []).append(w)
+            self.typed.setdefault(w, []).append(t)
         self.cache: dict[str, list[str]] = {}
 
-    def anchors(self, token: str) -> list[str]:
+    def partners(self, token: str) -> list[str]:
+        """All tokens of the list that may stand for the token: spellings by the trees, abbreviations by the first letter."""
         if token not in self.cache:
-            threshold = 0 if len(token) < 4 else 1 if len(token) < 6 else 2
-            self.cache[token] = [w for w, _ in self.tree.within(token, threshold)]
+            w = token.rstrip(".")
+            words = {x for x, _ in self.tree.within(w, 2)} | set(self.initials.get(w[:1], ()))
+            self.cache[token] = sorted(t for x in words for t in self.typed[x] if token_match(token, t) or x.startswith(w) or w.startswith(x))
         return self.cache[token]
 
+    def candidates(self, name: Name) -> set[int]:
+        """Places of every listed name that may fit: all tokens of the shorter name have a partner in the longer."""
+        options = [self.partners(t) for t in dict.fromkeys(name.tokens)]
+        sizes = [sum(len(self.by_token[y]) for y in o) for o in options]
+        # a listed name as long or longer holds a partner of every token: the tokens with the fewest listed names first
+        near: set[int] | None = None
+        for k in sorted(range(len(options)), key=lambda k: sizes[k]):
+            if near is not None and len(near) <= 16:
+                break
+            held = {at for y in options[k] for at in self.by_token[y]}
+            near = held if near is None else near & held
+        # of a shorter one, the anchor is among the partners
+        shorter = {at for o in options for y in o for at in self.by_anchor.get(y, ()) if len(self.read[at][1].tokens) < len(name.tokens)}
+        return (near or set()) | shorter
+
     def find(self, value: str) -> tuple[int, str, float, int] | None:
         """(id, kind, score, rivals) of the entry that the value denotes, or None."""
         name = read_name(value)
         if name.bare or not name.tokens:
             i = self.acronyms.get(name.acronym)
             return (i, "acronym", 1.0, 0) if i is not None else None
-        near = {i for t in name.tokens for a in self.anchors(t.rstrip(".")) for i in self.by_anchor[a]}
         rank = {"full": 3, "short": 2, "cut": 1, "loose": 0}
-        best: list[tuple[int, float, int]] = []
-        for i in sorted(near):
-            fits = [align(name, r) for r in self.names[i] if len(name.tokens) <= len(r.tokens)] + [f for r in self.names[i] if len(name.tokens) > len(r.tokens) and (f := align(name, r)).kind == "short"]
-            fits = [f for f in fits if f.kind != "none"]
-            if fits:
-                f = max(fits, key=lambda f: (rank[f.kind], f.score))
-                best.append((rank[f.kind], f.score, i))
+        by_entry: dict[int, tuple[int, float]] = {}
+        for at in self.candidates(name):
+            i, r = self.read[at]
+            f = align(name, r)
+            if f.kind != "none" and (len(name.tokens) <= len(r.tokens) or f.kind == "short"):
+                by_entry[i] = max(by_entry.get(i, (-1, 0.0)), (rank[f.kind], f.score))
+        best = [(*f, i) for i, f in by_entry.items()]
         if not best:
             return None
         best.sort(key=lambda b: (-b[0], -b[1], b[2]))

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from periodiq.llm.canonical import BKTree, ShardedTree, levenshtein, map_values
+from periodiq.llm.canonical import BKTree, Reference, ShardedTree, levenshtein, map_values
 from periodiq.llm.names import align, near, read_name
 from periodiq.llm.variants import link_variants, string_classes
 
@@ -106,6 +106,21 @@ def test_no_names(spark):
     assert string_classes(names(spark, ["y" * 50_000, "Zivan Symposium on Optics"])).count() == 2
 
 
+def test_reference_meets_all_that_aligns():
+    subjects = ["Quantitative Immunology", "Quantitative Ethnography", "Polar Optics"]
+    places = ["Nidrudret", "Gidonheim", "Zivan"]
+    rows = [(10 * p + s, f"International Conference on {subject} of {place}", None) for p, place in enumerate(places) for s, subject in enumerate(subjects)]
+    rows += [(90, "Workshops on Optics", None), (91, "Acta Ethnographica", None)]
+    ref = Reference(rows, {})
+    for typed in ("Int. Conf. Quant. Immun. Nidrudret", "Int Conf Quant Immun Nidrudret", "Int. Conf. Quant. Immun. Nidudret"):
+        assert ref.find(typed)[:2] == (0, "full")
+    typed = [t for _, t, _ in rows] + ["I. C. P. O. Z.", "Inter. Conf. Polar Optcis Zivna", "nternational Conference on Polar Optics of Zivan", "International Conference on Polar Op…", "Polar Optics of Zivan", "Annual Acta Ethnographica", "Acta Ethnogr"]
+    for t in typed:
+        name = read_name(t)
+        want = {at for at, (_, r) in enumerate(ref.read) if (f := align(name, r)).kind != "none" and (len(name.tokens) <= len(r.tokens) or f.kind == "short")}
+        assert want <= ref.candidates(name)
+
+
 def test_canonical_list(spark):
     ref = spark.createDataFrame([(1, "GJAI", BASE), (2, "GJAIL", f"{BASE} Letters"), (3, "DUP", "Acta Zed Optics"), (4, "DUP", "Acta Yon Optics"), (5, None, None)], "id bigint, acronym string, canonical string")
     var = spark.createDataFrame([(9, 1, "Int J Gidonheim Ethnogr"), (10, 3, None)], "id bigint, venue_acronym_id bigint, variant string")
