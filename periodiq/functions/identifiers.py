@@ -25,6 +25,25 @@ def first_issn(c: Column) -> Column:
     return F.when(a != "", F.concat_ws("-", a, F.regexp_extract(c, r"\b(\d{4})-?(\d{3}[\dX])\b", 2)))
 
 
+def first_doi(c: Column) -> Column:
+    """The first DOI-like token of a text, else null (FS-09)."""
+    d = F.regexp_extract(c, r"\b10\.\d{4,}\S*\b", 0)
+    return F.when(d != "", d)
+
+
+def issn_in(c: Column) -> Column:
+    """The first eight characters in a noisy text that could be a serial number, hyphenated, unchecked (FS-42)."""
+    d = F.upper(F.regexp_extract(c, r"(?:^|[^0-9])(\d{4}[\s\-‐-―]?\d{3}[\dXx])(?:[^0-9A-Za-z]|$)", 1))
+    return F.when(d != "", F.concat_ws("-", F.substring(d, 1, 4), F.right(d, F.lit(4))))
+
+
+def checked_issn(c: Column) -> Column:
+    """Seven digits are filled with a leading zero, a lost hyphen comes back, and only a right check character passes (FS-43, SRC-01)."""
+    d = F.upper(F.regexp_replace(c, r"[^0-9Xx]", ""))
+    n = normal_issn(F.when(d.rlike(r"^\d{6}[\dX]$"), F.concat(F.lit("0"), d)).otherwise(d))
+    return F.when(issn_checks(n), n)
+
+
 def is_doi(c: Column) -> Column:
     """Whether the text is a DOI name (FLT-14)."""
     return F.coalesce(F.trim(c).rlike(r"^10\.\d{4,}/\S+$"), F.lit(False))
@@ -46,6 +65,11 @@ def query_key(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts]))
 
 
+def dedupe_key(kind: Column, name: Column) -> Column:
+    """Fixed-length key of type::name without case, 128 bits (FS-37)."""
+    return F.left(F.sha2(F.concat_ws("::", F.coalesce(kind, F.lit("")), F.lower(F.coalesce(name, F.lit("")))), 256), F.lit(32))
+
+
 def record_id(*parts: Column) -> Column:
     """file::key::venue (FS-39)."""
     return F.concat_ws("::", *[F.coalesce(p, F.lit("")) for p in parts])
@@ -53,4 +77,4 @@ def record_id(*parts: Column) -> Column:
 
 def series_slug(c: Column, prefix: str) -> Column:
     """First path segment behind a prefix, else null (FS-40)."""
-    return F.when(c.startswith(prefix), F.split_part(F.substring(c, len(prefix) + 1, 100000), F.lit("/"), F.lit(1)))
+    return F.when(c.startswith(prefix), F.split_part(F.substring(c, F.lit(len(prefix) + 1), F.length(c)), F.lit("/"), F.lit(1)))

@@ -81,11 +81,12 @@ def cased_names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "journals").select("id", tx.normal_case(F.col("display_name")).alias("cased"))
 
 
+_ORGS = rf"^(?:{'|'.join(sorted(tx.ORGANISERS, key=len, reverse=True))})\s+"
 _STOP = ", ".join(f"'{a}'" for a in tx.STOP_WORDS)
 
 
 @query(
-    f"""SELECT id, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(replace(lower({_basic("display_name")}), '-', ' '), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g')), ' '),
+    f"""SELECT id, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(replace(regexp_replace(lower({_basic("display_name")}), '{_ORGS}', ''), '-', ' '), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g')), ' '),
   lambda w: w <> '' AND w NOT IN ({_STOP})), ' ') AS form FROM journals"""
 )
 def comparison_forms(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,13 +94,12 @@ def comparison_forms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _series_sql(c: str) -> str:
-    s = c
-    for p in (
-        r"(?i)\b(19|20)\d{2}(/\d{2})?\b", r"(?i)\b\d+(st|nd|rd|th)\b", rf"(?i)\b(?:{tx.ORDINAL_WORDS})\b", r"(?i)\b\d{1,2}(e|re|ème|è)\b",
-        r"(?i)\b(edition|ed\.)\s+\d{4}\b", r"(?i)^\s*proceedings\s+of\s+(the\s+)?", r"\s*\([A-Z][A-Za-z0-9''\-\s]{0,30}\)\s*$",
-    ):
-        s = f"regexp_replace({s}, '{p}', '', 'g')"
-    return f"trim(regexp_replace({s}, '\\s+', ' ', 'g'))"
+    words = f"list_filter(regexp_split_to_array({c}, '\\s+'), lambda w: w <> '')"
+    edge = tx.EDGE.replace("'", "''")
+    bare = f"regexp_replace(lower(w), '{edge}', '', 'g')"
+    counts = f"regexp_matches({bare}, '{tx.EDITION}')"
+    kept = f"CASE WHEN len(list_filter({words}, lambda w: {counts})) > 0 THEN list_filter({words}, lambda w: NOT {counts} AND {bare} NOT IN ('edition', 'ed')) ELSE {words} END"
+    return f"trim(regexp_replace(regexp_replace(array_to_string({kept}, ' '), '{tx.FRAME}', '', 'g'), '\\s+', ' ', 'g'))"
 
 
 @query(
@@ -112,7 +112,7 @@ def conference_series(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH s AS (SELECT id, canonical AS c, {_series_sql('canonical')} AS s, array_to_string(list_transform(string_split(canonical, ' '), lambda w: CASE WHEN w = 'Journal' THEN 'Jrnl' WHEN w = 'International' THEN 'Intl' ELSE w END), ' ') AS a FROM venue_acronyms)
+    f"""WITH s AS (SELECT id, canonical AS c, {_series_sql('canonical')} AS s, array_to_string(list_transform(string_split(canonical, ' '), lambda w: CASE WHEN w = 'Journal' THEN 'Jrnl' WHEN w = 'International' THEN 'Intl' WHEN w = 'international' THEN 'intl.' ELSE w END), ' ') AS a FROM venue_acronyms)
 SELECT id, array_to_string(list_filter([CASE WHEN starts_with(lower(c), 'journal of ') THEN trim(c[12:]) END, CASE WHEN starts_with(lower(c), 'the ') THEN trim(c[5:]) END,
   CASE WHEN starts_with(lower(c), 'proceedings of ') THEN trim(c[16:]) END, CASE WHEN s <> c AND s <> '' THEN s END, CASE WHEN a <> c THEN a END], lambda x: x IS NOT NULL AND x <> ''), '|') AS aliases FROM s"""
 )
@@ -406,7 +406,7 @@ def bibliography_counters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH d AS (SELECT coalesce({_series_sql('booktitle')}, '') AS series, TRY_CAST(pub_year AS INT) AS y FROM bibtex_entries WHERE booktitle IS NOT NULL)
+    f"""WITH d AS (SELECT coalesce(nullif({_series_sql('booktitle')}, ''), trim(regexp_replace(booktitle, '\\s+', ' ', 'g'))) AS series, TRY_CAST(pub_year AS INT) AS y FROM bibtex_entries WHERE booktitle IS NOT NULL)
 SELECT series, count(*) AS entries, count(DISTINCT y) AS years, min(y) AS first_year, max(y) AS last_year FROM d WHERE y BETWEEN 1900 AND 2100 AND series <> '' GROUP BY 1 HAVING count(*) >= 5 AND count(DISTINCT y) >= 3"""
 )
 def conference_rollup(spark: SparkSession, sf: str) -> DataFrame:
