@@ -4,6 +4,10 @@ The strict load keeps only conforming records and types them; the raw records
 minus the loaded ones, by record offset and content, are the failures, and only
 those are diagnosed. All patterns are possessive, so neither a long field nor a
 malformed one makes the matcher recurse or backtrack.
+
+Each record is taken apart once: one scan yields its fields, and it is well
+quoted if they, joined again, are the record. The fields come out of a generator,
+so neither a filter nor a column repeats the scan.
 """
 
 from __future__ import annotations
@@ -15,7 +19,6 @@ from pyspark.sql import functions as F
 
 _QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
 _FIELD = rf'(?:{_QUOTED}|[^",]*+)'
-WELL_QUOTED = rf"(?s)^{_FIELD}(?:,{_FIELD})*+$"
 DATE_TIME = r"^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}):(\d{2})$"
 
 RETRACTION_FIELDS = (
@@ -29,12 +32,8 @@ def record_text(c: Column) -> Column:
     return F.regexp_replace(c, r"\r?\n?$", "")
 
 
-def well_quoted(c: Column) -> Column:
-    return F.coalesce(c.rlike(WELL_QUOTED), F.lit(False))
-
-
 def raw_fields(c: Column) -> Column:
-    """Fields of a well quoted record, as written."""
+    """What a scan for fields behind commas meets, as written; text that fits no field is passed over."""
     return F.regexp_extract_all(F.concat(F.lit(","), c), F.lit(rf",({_FIELD})"), 1)
 
 
@@ -51,11 +50,16 @@ def _date_ok(c: Column) -> Column:
     return c.isin("", "0") | F.coalesce(strict_timestamp(c).isNotNull(), F.lit(False))
 
 
-def _parsed(lines: DataFrame, offset: str, raw: str, n: int) -> DataFrame:
+def _parsed(records: DataFrame) -> DataFrame:
+    """records with _fields and _ok, whether the record in _raw is well quoted."""
+    d = records.withColumn("_text", record_text(F.col("_raw")))
+    d = d.select("*", F.explode(F.array(raw_fields(F.col("_text")))).alias("_fields"))
+    return d.withColumn("_ok", F.coalesce(F.array_join("_fields", ",") == F.col("_text"), F.lit(False)))
+
+
+def _records(lines: DataFrame, offset: str, raw: str) -> DataFrame:
     d = lines.select(F.col(offset).alias("_offset"), F.col(raw).alias("_raw"))
-    d = d.withColumn("_digest", F.md5(F.coalesce(F.col("_raw"), F.lit(""))))
-    d = d.withColumn("_text", record_text(F.col("_raw"))).withColumn("_ok", well_quoted(F.col("_text")))
-    return d.withColumn("_fields", F.when(F.col("_ok"), raw_fields(F.col("_text"))))
+    return d.withColumn("_digest", F.md5(F.coalesce(F.col("_raw"), F.lit(""))))
 
 
 def strict_load(
@@ -72,7 +76,7 @@ def strict_load(
     Repeated records are loaded as often as they come. Columns of the input
     other than offset and raw are not looked at. An empty table loads no rows.
     """
-    d = _parsed(lines, offset, raw, len(names)).where((F.size("_fields") == len(names)))
+    d = _parsed(_records(lines, offset, raw)).where(F.col("_ok") & (F.size("_fields") == len(names)))
     d = d.select("_offset", "_digest", *[unquote(F.get("_fields", F.lit(i))).alias(n) for i, n in enumerate(names)])
     d = d.where(F.col(letter_field).rlike(r"\p{L}") & _date_ok(F.col(time_field)))
     return d.withColumn(time_field, strict_timestamp(F.col(time_field)))
@@ -93,17 +97,14 @@ def rejected_records(
     told apart by the record's digest, so a good and a bad record under one
     offset do not hide each other.
     """
-    n = len(names)
     loaded = strict_load(lines, offset, raw, names, letter_field, time_field).select("_offset", "_digest").distinct()
-    base = lines.select(F.col(offset).alias("_o"), F.col(raw).alias("_raw"))
-    base = base.withColumn("_d", F.md5(F.coalesce(F.col("_raw"), F.lit(""))))
-    rest = base.join(loaded, (F.col("_d") == F.col("_digest")) & F.col("_o").eqNullSafe(F.col("_offset")), "left_anti")
-    text = record_text(F.col("_raw"))
+    base = _records(lines, offset, raw).select(F.col("_offset").alias("_o"), F.col("_digest").alias("_d"), "_raw")
+    rest = _parsed(base.join(loaded, (F.col("_d") == F.col("_digest")) & F.col("_o").eqNullSafe(F.col("_offset")), "left_anti"))
     return rest.select(
         F.col("_o").alias(offset),
         F.when(F.col("_raw").isNull(), "column_count")
-        .when(~well_quoted(text), "quoting")
-        .when(F.size(raw_fields(text)) != n, "column_count")
+        .when(~F.col("_ok"), "quoting")
+        .when(F.size("_fields") != len(names), "column_count")
         .otherwise("bad_value")
         .alias("reason"),
         F.col("_raw").alias(raw),
