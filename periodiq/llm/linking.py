@@ -1,18 +1,23 @@
 """Matching entities across sources without keys (problem 3).
 
-Cross-table retrieval: the right table is an inverted index over the terms of
-all attributes (name words as corrected by the corpus, word beginnings, serial
-numbers, publisher words) and every distinct record of the left table is a BM25
-query. Pruning is exact: a term's greatest impact is known from its postings, so
-a query need only visit its rarest terms, up to the point where the rest
-together cannot lift a record to the least score that is accepted, and of a
-posting only records that have as much from that term on.
-
-A pair stands if each record is among the other's nearest, with room for the
-several listings and twins that one venue may have on either side. Confidence
-comes from the score and its gap to the nearest other venue through a logistic
-curve, calibrated on pairs whose serial numbers agree or clash. An exact
-alignment of the names follows.
+Cross-table retrieval: the left table is an inverted index over the terms of all
+attributes (words and their beginnings, as corrected by the corpus, serial
+numbers, publisher words), and every distinct record of the right table is a
+BM25 query. Listings known to be one entity are one indexed record, the union of
+their terms, so a match is a match of the entity and holds for all of them.
+
+Pruning is exact. A query visits its weightiest terms up to the point where the
+rest together cannot lift a record to the least score that is accepted, and of a
+posting only records that still have as much from that term on. Each posting
+carries a bitmap of its record's terms, which bounds the score from above while
+postings and queries meet: only pairs that may reach the least score leave the
+join, so what is shuffled grows with the input and not with the postings' length.
+
+A pair stands if each record is among the other's nearest and an exact alignment
+of the names, or a number in common where a name is missing, agrees. Confidence
+is a logistic curve over the score, its gap to the nearest other entity and the
+kind of alignment, calibrated on pairs whose serial numbers agree or clash; the
+numbers are labels only and no feature.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from periodiq.llm.identifiers import issn_digits
@@ -29,64 +34,127 @@ from periodiq.llm.names import align, fold, read_name, token_match
 from periodiq.llm.variants import token_classes
 from periodiq.session import materialize
 
-K1, B = 1.2, 0.3
-_TERMS = "pid bigint, term string, kind string"
+# words count by their beginning, and half as much again if they are the same to the end
+SHARES = {"p": 1.0, "n": 0.5, "a": 1.0, "i": 1.0, "u": 0.2}
+KINDS = ("full", "short", "cut", "loose", "near", "none")
+_TERMS = "ent bigint, term string, kind string"
+_SLOTS = 4  # longs of a bitmap
 
 
-def _profiles(df: DataFrame, key: str, name: str, issns: tuple[str, ...], publisher: str) -> DataFrame:
-    """(key, name, issns, publisher, pid): equal records share a pid and are searched once."""
+def _rows(df: DataFrame, columns: tuple[str, str, tuple[str, ...], str]) -> DataFrame:
+    key, name, issns, publisher = columns
     numbers = F.array_sort(F.array_distinct(F.array_compact(F.array(*[issn_digits(F.col(c)) for c in issns]))))
-    d = df.select(F.col(key).alias("_key"), F.col(name).alias("name"), numbers.alias("issns"), F.col(publisher).alias("publisher"))
-    return d.withColumn("pid", F.xxhash64(F.coalesce("name", F.lit("\u0001")), F.array_join("issns", ","), F.coalesce("publisher", F.lit("\u0001"))))
+    return df.select(F.col(key).alias("_key"), F.col(name).alias("name"), numbers.alias("issns"), F.col(publisher).alias("publisher"))
+
+
+def _entities(rows: DataFrame, classes: DataFrame | None, key: str) -> tuple[DataFrame, DataFrame]:
+    """(_key, ent) of all rows, and their distinct (ent, name, issns, publisher); an entity is named by its smallest key."""
+    said = ["name", "issns", "publisher"]
+    if classes is None:
+        own = rows.groupBy(*said).agg(F.min("_key").alias("ent"))
+        alike = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in said]
+        both = rows.alias("r").join(own.alias("o"), alike[0] & alike[1] & alike[2])
+        return both.select("r._key", "o.ent"), own.select("ent", *said)
+    of = classes.select(F.col(key).alias("_key"), "class")
+    of = of.join(of.groupBy("class").agg(F.min("_key").alias("ent")), "class").select("_key", "ent")
+    return of, rows.join(of, "_key").groupBy("ent", *said).agg(F.count("*").alias("n")).select("ent", *said)
 
 
 def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for pid, name, issns, publisher in zip(*(pdf[c].tolist() for c in ("pid", "name", "issns", "publisher")), strict=True):
+        for ent, name, issns, publisher in zip(*(pdf[c].tolist() for c in ("ent", "name", "issns", "publisher")), strict=True):
             out: set[tuple[str, str]] = set()
             if isinstance(name, str):
                 n = read_name(name)
-                for t in n.tokens:
-                    w = t.rstrip(".")
-                    out.add((w, "n"))
-                    if len(w) >= 4:
-                        out.add((f"{w[:4]}~", "p"))
+                out.update((t.rstrip("."), "n") for t in n.tokens)
                 if n.bare and n.acronym:
                     out.add((n.acronym, "a"))
-            out.update((f"#{x}", "i") for x in issns if x)
+            out.update((x, "i") for x in issns if x)
             if isinstance(publisher, str):
-                for w in fold(publisher).lower().replace(".", " ").split():
-                    if len(w) >= 3 and w not in ("the", "and", "ltd", "gmbh", "press", "publisher", "unknown"):
-                        out.add((f"@{w[:5]}", "u"))
-            rows.extend((pid, t, k) for t, k in out)
-        yield pd.DataFrame(rows, columns=["pid", "term", "kind"])
+                out.update((w, "u") for w in fold(publisher).lower().replace(".", " ").split() if len(w) >= 3)
+            rows.extend((ent, t, k) for t, k in out)
+        yield pd.DataFrame(rows, columns=["ent", "term", "kind"])
 
 
 def _corrected(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Name words replaced by the commonest spelling one edit away, over both tables."""
+    """(ent, t, kind): words replaced by the commonest spelling one edit away over both tables, with their beginnings."""
     both = left.unionByName(right).where("kind = 'n'").groupBy("term").agg(F.count("*").alias("df"))
     rep = materialize(token_classes(materialize(both.withColumnRenamed("term", "token"))).select(F.col("token").alias("term"), "rep", F.lit("n").alias("kind")))
 
     def apply(d: DataFrame) -> DataFrame:
-        return d.join(rep, ["term", "kind"], "left").select("pid", F.coalesce("rep", "term").alias("term"), "kind").distinct()
+        d = d.join(rep, ["term", "kind"], "left").withColumn("term", F.coalesce("rep", "term"))
+        begun = (F.col("kind") == "n") & (F.length("term") >= 4)
+        own = F.struct(F.concat("kind", F.lit(":"), "term").alias("t"), "kind")
+        beginning = F.struct(F.concat(F.lit("p:"), F.substring("term", 1, 4)).alias("t"), F.lit("p").alias("kind"))
+        return d.select("ent", F.inline(F.when(begun, F.array(own, beginning)).otherwise(F.array(own)))).distinct()
 
     return materialize(apply(left)), materialize(apply(right))
 
 
-def _aligned(name_q: pd.Series, name_d: pd.Series) -> pd.DataFrame:
+def _weighted(terms: DataFrame, dfs: DataFrame, n: Column) -> DataFrame:
+    """(ent, t, kind, df, w): BM25 weights, terms that no record has with df 0."""
+    share = F.lit(0.0)
+    for kind, x in SHARES.items():
+        share = F.when(F.col("kind") == kind, x).otherwise(share)
+    df = F.coalesce("df", F.lit(0))
+    return terms.join(dfs, "t", "left").select("ent", "t", "kind", df.alias("df"), (share * F.log(1 + (n - df + 0.5) / (df + 0.5))).alias("w"))
+
+
+def _bit(t: Column) -> tuple[Column, Column]:
+    """Which long of the bitmap a term belongs to, from 1, and its bit."""
+    h = F.xxhash64(t)
+    return F.pmod(h, F.lit(_SLOTS)).cast("int") + 1, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftrightunsigned(h, 8), F.lit(64)).cast("int"))
+
+
+def retrieve(docs: DataFrame, queries: DataFrame, floor: float) -> DataFrame:
+    """(q, c, score, plain, own) of all pairs that score at least `floor` of what the query's name would score.
+
+    docs, queries: (ent, t, kind, df, w). plain is the score without serial
+    numbers, own what the query's name scores by itself, or all of it if it has
+    none. Exact: nothing that reaches the score is left out, whatever its terms.
+    """
+    slot, bit = _bit(F.col("t"))
+    bits = [F.bit_or(F.when(slot == i + 1, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"b{i}") for i in range(_SLOTS)]
+    maps = docs.groupBy("ent").agg(F.array(*bits).alias("bits"), F.sum("w").alias("all"))
+    # what a record has from a term on, the weightiest first: all less what is weightier
+    order = Window.partitionBy("ent").orderBy(F.desc("w"), "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    posts = docs.withColumn("upto", F.sum("w").over(order)).join(maps, "ent")
+    posts = posts.select(F.col("ent").alias("c"), "t", (F.col("all") - F.col("upto") + F.col("w")).alias("left"), "bits")
+    named = F.col("kind").isin("n", "p", "a")
+    q = queries.groupBy(F.col("ent").alias("q")).agg(
+        F.coalesce(F.sum(F.when(named, F.col("w"))), F.sum("w")).alias("own"),
+        F.array_sort(F.collect_list(F.when(F.col("df") > 0, F.struct((-F.col("w")).alias("neg"), "t", slot.alias("slot"), bit.alias("bit"))))).alias("ts"),
+    )
+    q = q.withColumn("theta", F.col("own") * floor - 1e-9)
+    rest = lambda i: F.aggregate(F.slice("ts", i + 1, F.size("ts")), F.lit(0.0), lambda a, x: a - x["neg"])
+    at = F.filter(F.transform("ts", lambda x, i: F.struct(x["t"].alias("t"), rest(i).alias("rest"))), lambda x: x["rest"] >= F.col("theta"))
+    visit = q.select("q", "theta", "ts", F.explode(at).alias("at")).select("q", "theta", "ts", "at.t")
+    most = F.aggregate("ts", F.lit(0.0), lambda a, x: a - F.when(F.element_at("bits", x["slot"]).bitwiseAND(x["bit"]) != 0, x["neg"]).otherwise(0.0))
+    met = visit.join(posts, "t").where(F.col("left") >= F.col("theta")).where(most >= F.col("theta")).select("q", "c").distinct()
+    asked = q.select("q", "theta", "own").join(queries.where("df > 0").select(F.col("ent").alias("q"), "t", "kind", "w"), "q")
+    shared = met.join(asked, "q").join(docs.select(F.col("ent").alias("c"), "t"), ["c", "t"])
+    scored = shared.groupBy("q", "c").agg(F.sum("w").alias("score"), F.sum(F.when(F.col("kind") != "i", F.col("w")).otherwise(0.0)).alias("plain"), F.max("own").alias("own"), F.max("theta").alias("theta"))
+    return scored.where("score >= theta").drop("theta")
+
+
+def _aligned(name_q: pd.Series, names: pd.Series) -> pd.DataFrame:
+    """The best alignment of a record's name with one of the entity's names, and which of the two is part of the other."""
+    order = {"full": 5, "short": 4, "cut": 3, "loose": 2, "near": 1, "none": 0}
     rows = []
-    for q, d in zip(name_q, name_d, strict=True):
-        if not isinstance(q, str) or not isinstance(d, str):
-            rows.append(("none", 0.0, "none"))
-            continue
-        a, b = read_name(q), read_name(d)
-        fit = align(a, b)
-        if fit.kind == "none" and len(a.tokens) == len(b.tokens) > 2 and sum(any(token_match(t, u) for u in b.tokens) for t in a.tokens) == len(a.tokens) - 1:
-            rows.append(("near", 0.0, "none"))  # one word beyond recognition: for the numbers to decide
-            continue
-        part = "none" if fit.kind in ("full", "none") else "q" if len(a.tokens) < len(b.tokens) or (len(a.tokens) == len(b.tokens) and sum(map(len, a.tokens)) < sum(map(len, b.tokens))) else "d"
-        rows.append((fit.kind, fit.score, part))
+    for q, all_c in zip(name_q, names, strict=True):
+        best = ("none", 0.0, "none")
+        a = read_name(q) if isinstance(q, str) else None
+        for c in all_c if a else ():
+            b = read_name(c)
+            fit = align(a, b)
+            if fit.kind == "none" and len(a.tokens) == len(b.tokens) > 2 and sum(any(token_match(t, u) for u in b.tokens) for t in a.tokens) == len(a.tokens) - 1:
+                got = ("near", 0.0, "none")  # one word beyond recognition: for the numbers to decide
+            else:
+                shorter = len(a.tokens) < len(b.tokens) or (len(a.tokens) == len(b.tokens) and sum(map(len, a.tokens)) < sum(map(len, b.tokens)))
+                got = (fit.kind, fit.score, "none" if fit.kind in ("full", "none") else "q" if shorter else "c")
+            best = max(best, got, key=lambda g: (order[g[0]], g[1]))
+        rows.append(best)
     return pd.DataFrame(rows, columns=["kind", "fit", "part"])
 
 
@@ -100,137 +168,114 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return w
 
 
+def calibration(pairs: DataFrame, sample: int) -> tuple[np.ndarray, list[tuple[float, float, int]]]:
+    """Weights of the curve and its reliability, (mean confidence, share that agrees, pairs) by tenths of held-out pairs.
+
+    pairs: (features, y). Of the at most `sample` pairs with the least hashes, every second fits the curve; the others test it.
+    """
+    got = pairs.where("y is not null").select("features", "y", F.xxhash64("features", "q", "c").alias("h")).orderBy("h").limit(sample).toPandas()
+    x = np.array(got["features"].tolist(), dtype=float).reshape(len(got), 3 + len(KINDS) - 1)
+    y = got["y"].to_numpy(dtype=float)
+    w = fit_logistic(x[::2], y[::2])
+    p = 1 / (1 + np.exp(-x[1::2] @ w))
+    tenth = np.minimum((p * 10).astype(int), 9)
+    return w, [(float(p[tenth == k].mean()), float(y[1::2][tenth == k].mean()), int((tenth == k).sum())) for k in range(10) if (tenth == k).any()]
+
+
+def entity_pairs(
+    left: DataFrame,
+    right: DataFrame,
+    left_columns: tuple[str, str, tuple[str, ...], str],
+    right_columns: tuple[str, str, tuple[str, ...], str],
+    floor: float,
+    near: float,
+    near_record: float,
+    left_classes: DataFrame | None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of entities that are near each other, with features and label, and the rows of both sides."""
+    l_of, lp = _entities(_rows(left, left_columns), left_classes, left_columns[0])
+    r_of, rp = _entities(_rows(right, right_columns), None, right_columns[0])
+    l_of, lp, r_of, rp = materialize(l_of), materialize(lp), materialize(r_of), materialize(rp)
+    d_terms, q_terms = _corrected(materialize(lp.mapInPandas(_terms, _TERMS).distinct()), materialize(rp.mapInPandas(_terms, _TERMS)))
+    n = F.lit(lp.select("ent").distinct().count())
+    dfs = d_terms.groupBy("t").agg(F.count("*").alias("df"))
+    docs, queries = materialize(_weighted(d_terms, dfs, n)), materialize(_weighted(q_terms, dfs, n))
+    scored = materialize(retrieve(docs, queries, floor))
+    # each among the other's nearest: the records of an entity are compared by the share of themselves that they find in it
+    share = F.col("score") / F.col("own")
+    best = scored.groupBy("q").agg(F.max("score").alias("q_best"))
+    scored = scored.join(best, "q")
+    is_near = F.col("score") >= near * F.col("q_best")
+    far = scored.where(~is_near).groupBy("q").agg(F.max("plain").alias("far"))
+    c_best = scored.groupBy("c").agg(F.max(share).alias("c_best"))
+    close = scored.where(is_near).join(c_best, "c").where(share >= near_record * F.col("c_best"))
+    # an entity shows its fullest and its commonest name
+    names = lp.where("name is not null").groupBy("ent", "name").agg(F.count("*").alias("n")).groupBy("ent")
+    names = names.agg(F.array_distinct(F.array(F.max_by("name", F.struct(F.length("name"), F.col("name"))), F.max_by("name", F.struct("n", "name")))).alias("names"))
+    numbers = lp.select("ent", F.explode("issns").alias("x")).groupBy("ent").agg(F.collect_set("x").alias("ic"))
+    shown = lp.select("ent").distinct().join(names, "ent", "left").join(numbers, "ent", "left")
+    shown = shown.select("ent", F.coalesce("names", F.array().cast("array<string>")).alias("names"), F.coalesce("ic", F.array().cast("array<string>")).alias("ic"))
+    pairs = close.join(shown.withColumnRenamed("ent", "c"), "c").join(rp.select(F.col("ent").alias("q"), F.col("name").alias("name_q"), F.col("issns").alias("iq")), "q")
+    alike = F.exists("iq", lambda x: F.exists("ic", lambda y: F.levenshtein(x, y) <= 2))
+    said = F.when((F.size("iq") > 0) & (F.size("ic") > 0), F.when(F.arrays_overlap("iq", "ic"), 1).when(~alike, -1).otherwise(0)).otherwise(0)
+    aligned = F.pandas_udf(_aligned, "kind string, fit double, part string")
+    pairs = pairs.withColumn("said", said).withColumn("a", aligned("name_q", "names"))
+    pairs = materialize(pairs.select("q", "c", "score", "plain", "own", "said", "a", (F.size("names") > 0).alias("named_c"), F.col("name_q").isNotNull().alias("named_q")))
+    rank = F.element_at(F.create_map(*[F.lit(x) for k, r in (("full", 4), ("short", 3), ("cut", 2), ("loose", 1), ("near", 0), ("none", 0)) for x in (k, r)]), F.col("a.kind"))
+    pairs = pairs.withColumn("rank", rank)
+    other = pairs.where("rank = 0").groupBy("q").agg(F.max("plain").alias("rival"))
+    pairs = pairs.join(far, "q", "left").join(other, "q", "left")
+    gap = F.col("plain") - F.greatest(F.coalesce("far", F.lit(0.0)), F.when(F.col("rank") > 0, F.coalesce("rival", F.lit(0.0))).otherwise(F.lit(0.0)))
+    kinds = [(F.col("a.kind") == k).cast("double") for k in KINDS[:-1]]
+    features = F.array(F.lit(1.0), F.col("plain") / F.col("own"), gap / F.col("own"), *kinds)
+    pairs = pairs.select("q", "c", "score", "own", "said", "a", "rank", "named_q", "named_c", features.alias("features"), F.when(F.col("named_q") & F.col("named_c"), F.when(F.col("said") > 0, 1).when(F.col("said") < 0, 0)).alias("y"))
+    return pairs, l_of, r_of
+
+
 def link_entities(
     left: DataFrame,
     right: DataFrame,
     left_columns: tuple[str, str, tuple[str, ...], str] = ("id", "display_name", ("issn", "eissn"), "publisher"),
     right_columns: tuple[str, str, tuple[str, ...], str] = ("id", "display_name", ("issn", "issn_l"), "publisher"),
-    exact: float = 0.9,
     floor: float = 0.45,
     near: float = 0.6,
-    near_aligned: float = 0.3,
+    near_record: float = 0.5,
     sample: int = 20_000,
-    least_confidence: float = 0.5,
     left_classes: DataFrame | None = None,
 ) -> DataFrame:
-    """(left_id, right_id, score, confidence) of pairs that describe one entity.
-
-    Each side names its key, name, serial numbers and publisher. Candidates are
-    all records that score at least `floor` of what the query's name scores by
-    itself; the pruning is exact down to that score, and a lower `exact` only
-    visits more. Terms that no record of the right table has are not visited. near is
-    the share of the best score that a nearest record must reach, on both sides;
-    near_aligned is that share where the names align in full, since the numbers
-    of a well-kept twin raise the best score. The calibration is fitted on at
-    most `sample` pairs whose serial numbers agree or clash, the only sampled
-    step. Records with null or empty attributes are matched by what they
-    have; those with nothing match nothing. Equal records are searched once and
-    all come out. Empty tables give no pairs. left_classes (key, class) tells
-    which left records are known to be one entity: what a record of a class is
-    linked to by aligned names or agreeing numbers, all of its class are.
+    """(left_id, right_id, score, confidence) of pairs of rows that describe one entity.
+
+    Each side names its key, name, serial numbers and publisher. left_classes
+    (key, class) tells which left rows are known to be one entity; without it
+    equal rows are. Candidates are all entities that score at least `floor` of
+    what the record's name scores by itself. near is the share of a record's best
+    score that an entity must reach, near_record that of the best share of itself
+    that a record finds in the entity. The calibration is fitted on at most
+    `sample` pairs whose serial numbers agree or clash, the only sampled step.
+    Rows with null or empty attributes are matched by what they have; those with
+    nothing match nothing. Equal rows are searched once and all come out. Empty
+    tables give no pairs. Other columns are not looked at.
     """
-    lp = _profiles(left, *left_columns)
-    rp = _profiles(right, *right_columns)
-    spread = ["pid", "name", "issns", "publisher"]
-    lq, rq = materialize(lp.select(spread).dropDuplicates(["pid"])), materialize(rp.select(spread).dropDuplicates(["pid"]))
-    q_terms, d_terms = _corrected(materialize(lq.mapInPandas(_terms, _TERMS)), materialize(rq.mapInPandas(_terms, _TERMS)))
-    n_docs = rq.count()
-    if not n_docs:
-        return left.sparkSession.createDataFrame([], "left_id bigint, right_id bigint, score double, confidence double")
-    lengths = d_terms.groupBy("pid").agg(F.count("*").alias("len"))
-    mean = lengths.agg(F.avg("len")).first()[0] or 1.0
-    dfs = d_terms.groupBy("term", "kind").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    share = F.when(F.col("kind") == "p", 0.5).when(F.col("kind") == "u", 0.6).otherwise(1.0)
-    impact = share * idf * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("len") / F.lit(mean)))
-    postings = materialize(d_terms.join(dfs, ["term", "kind"]).join(lengths, "pid").select(F.col("pid").alias("d"), "term", "kind", "df", impact.alias("w")))
-    # the terms of a record in one order, from the rarest; left is what it has from a term on
-    order = Window.partitionBy("d").orderBy(F.desc("df"), F.desc("term"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ordered = postings.withColumn("left", F.sum("w").over(order))
-    bounds = ordered.groupBy("term", "kind", "df").agg(F.max("w").alias("bound"), F.max("left").alias("reach"))
-    unseen = float(np.log(1 + n_docs)) * (K1 + 1) / (1 + K1 * (1 - B))
-    q = q_terms.join(bounds, ["term", "kind"], "left")
-    weight = F.coalesce("bound", F.lit(unseen) * share)
-    # what the record would score in a document of mean length, the measure of theta
-    typical = share * F.coalesce(F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(float(np.log(1 + n_docs))))
-    named = F.col("kind").isin("n", "p", "a")
-    own = q.groupBy("pid").agg(
-        F.sum(F.when(named, typical)).alias("name_typical"),
-        F.sum(typical).alias("typical"),
-        F.sum(F.when(named, weight)).alias("name_own"),
-        F.sum(weight).alias("own"),
-        F.array_sort(F.collect_list(F.when(F.col("df") > 0, F.struct("df", "term", "kind", "bound", "reach")))).alias("ts"),
-    )
-    typical_name = F.coalesce("name_typical", F.col("typical"))
-    own = own.withColumn("theta", F.lit(floor) * typical_name).withColumn("sure", F.lit(min(exact, floor)) * typical_name - F.lit(1e-9))
-    # a term is visited unless what the query has from it on, or any record has from it on, stays below `sure`
-    rest = lambda i: F.aggregate(F.slice("ts", i + 1, F.size("ts")), F.lit(0.0), lambda acc, t: acc + t["bound"])
-    terms = F.transform("ts", lambda t, i: F.struct(t["term"].alias("term"), t["kind"].alias("kind"), t["reach"].alias("reach"), rest(i).alias("rest"), (rest(i) - t["bound"]).alias("after")))
-    visit = own.select(F.col("pid").alias("q"), "sure", F.explode(F.filter(terms, lambda t: (t["rest"] >= F.col("sure")) & (t["reach"] >= F.col("sure")))).alias("t"))
-    met = visit.select("q", "sure", "t.term", "t.kind", "t.after").join(ordered.select("d", "term", "kind", "w", "left"), ["term", "kind"]).where("left >= sure")
-    # visited terms come first in both orders, so these bounds hold for all that a pair shares
-    most = F.sum("w") + F.least(F.min("after"), F.min(F.col("left") - F.col("w")))
-    found = met.groupBy("q", "d").agg(most.alias("most"), F.max("sure").alias("sure")).where("most >= sure").select("q", "d")
-    q_side = own.select(F.col("pid").alias("q"), F.transform("ts", lambda t: F.concat(t["kind"], t["term"])).alias("qt"), "theta", "own", "name_own")
-    d_side = postings.groupBy("d").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", "term"), "w"))).alias("dw"))
-    got = F.transform("qt", lambda t: F.struct(t.alias("t"), F.coalesce(F.try_element_at("dw", t), F.lit(0.0)).alias("w")))
-    scored = found.join(q_side, "q").join(d_side, "d").withColumn("got", got)
-    scored = scored.select(
-        "q", "d", "theta", "own", "name_own",
-        F.aggregate("got", F.lit(0.0), lambda a, x: a + x["w"]).alias("score"),
-        F.aggregate("got", F.lit(0.0), lambda a, x: a + F.when(x["t"].startswith("i"), 0.0).otherwise(x["w"])).alias("plain"),
-    ).where("score >= theta")
-    l_side = lq.select(F.col("pid").alias("q"), F.col("name").alias("name_q"), F.col("issns").alias("iq"))
-    r_side = rq.select(F.col("pid").alias("d"), F.col("name").alias("name_d"), F.col("issns").alias("id_"))
-    pairs = scored.join(l_side, "q").join(r_side, "d")
-    agree = F.arrays_overlap("iq", "id_")
-    pairs = pairs.withColumn("said", F.when((F.size("iq") > 0) & (F.size("id_") > 0), F.when(agree, 1).otherwise(-1)).otherwise(0))
-    aligned = F.pandas_udf(_aligned, "kind string, fit double, part string")
-    pairs = materialize(pairs.withColumn("a", aligned("name_q", "name_d")).drop("iq", "id_"))
-    rank = F.when(F.col("a.kind") == "full", 4).when(F.col("a.kind") == "short", 3).when(F.col("a.kind") == "cut", 2).when(F.col("a.kind") == "loose", 1).otherwise(0)
-    pairs = pairs.withColumn("rank", rank)
-    # the nearest of each side, and of each query the best that is another venue
-    q_best = pairs.groupBy("q").agg(
-        F.max("score").alias("q_best"),
-        F.max(F.when(F.col("rank") == 0, F.col("plain"))).alias("other"),
-        F.max(F.when(F.col("a.part") == "q", F.struct(F.greatest("said", F.lit(0)), "rank", F.round("a.fit", 6)))).alias("q_pref"),
-    )
-    d_best = pairs.groupBy("d").agg(
-        F.max(F.col("score") / F.col("own")).alias("d_best"), F.max(F.when(F.col("a.part") == "d", F.struct(F.greatest("said", F.lit(0)), "rank", F.round("a.fit", 6)))).alias("d_pref")
-    )
-    pairs = pairs.join(q_best, "q").join(d_best, "d")
-    base = F.coalesce("name_own", "own")
-    pairs = pairs.withColumn("x1", F.col("plain") / base).withColumn("x2", (F.col("plain") - F.coalesce("other", F.lit(0.0))) / base)
-    labelled = pairs.where("said <> 0").select("x1", "x2", (F.col("said") > 0).cast("int").alias("y")).orderBy(F.xxhash64("q", "d")).limit(sample).toPandas()
-    w = np.array([-3.0, 4.0, 4.0])
-    if len(labelled) >= 200 and 0 < labelled["y"].mean() < 1:
-        x = labelled[["x1", "x2"]].to_numpy()
-        w = fit_logistic(np.column_stack([np.ones(len(x)), x]), labelled["y"].to_numpy(dtype=float))
-    logit = float(w[0]) + float(w[1]) * F.col("x1") + float(w[2]) * F.col("x2")
-    # what the exact check says: names that align, numbers that agree or clash
-    logit = logit + F.when(F.col("rank") == 4, 5.0).when((F.col("rank") > 0) | (F.col("a.kind") == "near"), 3.0).otherwise(-4.0) + F.when(F.col("said") > 0, 3.0).when(F.col("said") < 0, -1.0).otherwise(0.0)
+    pairs, l_of, r_of = entity_pairs(left, right, left_columns, right_columns, floor, near, near_record, left_classes)
+    pairs = materialize(pairs)
+    w, _ = calibration(pairs, sample)
+    logit = F.lit(0.0)
+    for i, x in enumerate(w):
+        logit = logit + F.lit(float(x)) * F.col("features")[i]
+    # a name that is part of the other belongs to what fits it best, among all that are near
     pref = F.struct(F.greatest("said", F.lit(0)), "rank", F.round("a.fit", 6))
-    nearest = lambda share: (F.col("score") >= share * F.col("q_best")) & (F.col("score") / F.col("own") >= share * F.col("d_best"))
-    mutual = nearest(near)
+    q_pref = pairs.where("a.part = 'q'").groupBy("q").agg(F.max(pref).alias("q_pref"))
+    c_pref = pairs.where("a.part = 'c'").groupBy("c").agg(F.max(pref).alias("c_pref"))
     stands = (
-        F.when(F.col("rank") == 4, nearest(near_aligned))
-        .when(F.col("a.part") == "q", mutual & (pref == F.col("q_pref")))
-        .when(F.col("a.part") == "d", mutual & (pref == F.col("d_pref")))
-        .otherwise((F.col("said") > 0) & (F.col("name_q").isNull() | F.col("name_d").isNull() | (F.col("a.kind") == "near")) & mutual)
+        F.when(F.col("rank") == 4, True)
+        .when(F.col("a.part") == "q", pref == F.col("q_pref"))
+        .when(F.col("a.part") == "c", pref == F.col("c_pref"))
+        .otherwise((F.col("said") > 0) & (~F.col("named_q") | ~F.col("named_c") | (F.col("a.kind") == "near")))
     )
-    kept = pairs.where(stands).withColumn("confidence", 1 / (1 + F.exp(-logit))).where(F.col("confidence") >= least_confidence)
-    out = kept.select("q", "d", "score", "confidence", ((F.col("rank") >= 3) | (F.col("said") > 0)).alias("firm"))
-    linked = (
-        lp.select(F.col("_key").alias("left_id"), F.col("pid").alias("q"))
-        .join(out, "q")
-        .join(rp.select(F.col("_key").alias("right_id"), F.col("pid").alias("d")), "d")
-        .select("left_id", "right_id", "score", "confidence", "firm")
+    kept = pairs.join(q_pref, "q", "left").join(c_pref, "c", "left").where(stands).select("q", "c", "score", (1 / (1 + F.exp(-logit))).alias("confidence"))
+    return (
+        l_of.select(F.col("_key").alias("left_id"), F.col("ent").alias("c"))
+        .join(kept, "c")
+        .join(r_of.select(F.col("_key").alias("right_id"), F.col("ent").alias("q")), "q")
+        .select("left_id", "right_id", "score", "confidence")
     )
-    if left_classes is None:
-        return linked.drop("firm")
-    linked = materialize(linked)
-    of = left_classes.select(F.col(left_columns[0]).alias("left_id"), "class")
-    best = linked.where("firm").join(of, "left_id").groupBy("class", "right_id").agg(F.max("score").alias("score"), F.max("confidence").alias("confidence"))
-    more = best.join(of, "class").select("left_id", "right_id", "score", "confidence")
-    both = linked.drop("firm").unionByName(more)
-    return both.groupBy("left_id", "right_id").agg(F.max("score").alias("score"), F.max("confidence").alias("confidence"))

@@ -4,7 +4,7 @@ from itertools import product
 
 import numpy as np
 
-from periodiq.llm.linking import fit_logistic, link_entities
+from periodiq.llm.linking import fit_logistic, link_entities, retrieve
 from periodiq.llm.survivor import field_truths, survivors
 from periodiq.llm.venues import venue_classes
 
@@ -39,7 +39,25 @@ def test_links_against_brute_force(spark):
     want = {(i - 100, i) for i, *_ in right}
     got = pairs(spark, left, right)
     assert set(got) == want and all(c >= 0.5 for c in got.values())
-    assert set(pairs(spark, left, right, exact=0.0)) == want  # visits every posting
+
+
+def test_pruned_retrieval_equals_scoring_of_all_pairs(spark):
+    rng = random.Random(5)
+    words = [f"n:w{i}" for i in range(40)] + [f"i:{i}" for i in range(10)] + [f"u:{i}" for i in range(4)]
+    weight = {t: round(rng.uniform(0.05, 8), 3) for t in words}
+    docs = {i: rng.sample(words, rng.randint(1, 9)) for i in range(150)}
+    asked = {1000 + i: rng.sample(words, rng.randint(1, 7)) for i in range(120)} | {2000: ["u:1"], 2001: ["i:1", "u:2"]}
+    seen = {t for ts in docs.values() for t in ts}
+    frame = lambda x: spark.createDataFrame([(e, t, t[0], int(t in seen), weight[t]) for e, ts in x.items() for t in ts], "ent bigint, t string, kind string, df int, w double")
+    want = set()
+    for q, ts in asked.items():
+        own = sum(weight[t] for t in ts if t[0] == "n") or sum(weight[t] for t in ts)
+        for c, us in docs.items():
+            score = sum(weight[t] for t in set(ts) & set(us))
+            if score >= 0.45 * own - 1e-9:
+                want.add((q, c, round(score, 6), round(sum(weight[t] for t in set(ts) & set(us) if t[0] != "i"), 6)))
+    got = {(r.q, r.c, round(r.score, 6), round(r.plain, 6)) for r in retrieve(frame(docs), frame(asked), 0.45).collect()}
+    assert got == want and len(want) > 300
 
 
 def test_links_found_by_common_words_alone(spark):
