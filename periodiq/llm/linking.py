@@ -107,12 +107,15 @@ def _bit(t: Column) -> tuple[Column, Column]:
     return F.pmod(h, F.lit(_SLOTS)).cast("int") + 1, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftrightunsigned(h, 8), F.lit(64)).cast("int"))
 
 
-def retrieve(docs: DataFrame, queries: DataFrame, floor: float) -> DataFrame:
-    """(q, c, score, plain, own) of all pairs that score at least `floor` of what the query's name would score.
+def retrieve(docs: DataFrame, queries: DataFrame, floor: float, near: float = 0.0, sure: float = 0.8) -> DataFrame:
+    """(q, c, score, plain, own) of all pairs that score at least `floor` of what the query's name would score and `near` of the query's best.
 
     docs, queries: (ent, t, kind, df, w). plain is the score without serial
     numbers, own what the query's name scores by itself, or all of it if it has
     none. Exact: nothing that reaches the score is left out, whatever its terms.
+    The best score is bounded from below by a first search for what scores
+    `sure`, which few postings can; the second search then need not go below
+    `near` of that, so only queries without a good answer go down to the floor.
     """
     slot, bit = _bit(F.col("t"))
     bits = [F.bit_or(F.when(slot == i + 1, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"b{i}") for i in range(_SLOTS)]
@@ -120,22 +123,31 @@ def retrieve(docs: DataFrame, queries: DataFrame, floor: float) -> DataFrame:
     # what a record has from a term on, the weightiest first: all less what is weightier
     order = Window.partitionBy("ent").orderBy(F.desc("w"), "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     posts = docs.withColumn("upto", F.sum("w").over(order)).join(maps, "ent")
-    posts = posts.select(F.col("ent").alias("c"), "t", (F.col("all") - F.col("upto") + F.col("w")).alias("left"), "bits")
+    posts = materialize(posts.select(F.col("ent").alias("c"), "t", (F.col("all") - F.col("upto") + F.col("w")).alias("left"), "bits"))
     named = F.col("kind").isin("n", "p", "a")
     q = queries.groupBy(F.col("ent").alias("q")).agg(
         F.coalesce(F.sum(F.when(named, F.col("w"))), F.sum("w")).alias("own"),
         F.array_sort(F.collect_list(F.when(F.col("df") > 0, F.struct((-F.col("w")).alias("neg"), "t", slot.alias("slot"), bit.alias("bit"))))).alias("ts"),
     )
-    q = q.withColumn("theta", F.col("own") * floor - 1e-9)
-    rest = lambda i: F.aggregate(F.slice("ts", i + 1, F.size("ts")), F.lit(0.0), lambda a, x: a - x["neg"])
-    at = F.filter(F.transform("ts", lambda x, i: F.struct(x["t"].alias("t"), rest(i).alias("rest"))), lambda x: x["rest"] >= F.col("theta"))
-    visit = q.select("q", "theta", "ts", F.explode(at).alias("at")).select("q", "theta", "ts", "at.t")
-    most = F.aggregate("ts", F.lit(0.0), lambda a, x: a - F.when(F.element_at("bits", x["slot"]).bitwiseAND(x["bit"]) != 0, x["neg"]).otherwise(0.0))
-    met = visit.join(posts, "t").where(F.col("left") >= F.col("theta")).where(most >= F.col("theta")).select("q", "c").distinct()
-    asked = q.select("q", "theta", "own").join(queries.where("df > 0").select(F.col("ent").alias("q"), "t", "kind", "w"), "q")
-    shared = met.join(asked, "q").join(docs.select(F.col("ent").alias("c"), "t"), ["c", "t"])
-    scored = shared.groupBy("q", "c").agg(F.sum("w").alias("score"), F.sum(F.when(F.col("kind") != "i", F.col("w")).otherwise(0.0)).alias("plain"), F.max("own").alias("own"), F.max("theta").alias("theta"))
-    return scored.where("score >= theta").drop("theta")
+    q = materialize(q.where(F.size("ts") > 0))
+
+    def search(q: DataFrame) -> DataFrame:
+        rest = lambda i: F.aggregate(F.slice("ts", i + 1, F.size("ts")), F.lit(0.0), lambda a, x: a - x["neg"])
+        at = F.filter(F.transform("ts", lambda x, i: F.struct(x["t"].alias("t"), rest(i).alias("rest"))), lambda x: x["rest"] >= F.col("theta"))
+        visit = q.select("q", "theta", "ts", F.explode(at).alias("at")).select("q", "theta", "ts", "at.t")
+        most = F.aggregate("ts", F.lit(0.0), lambda a, x: a - F.when(F.element_at("bits", x["slot"]).bitwiseAND(x["bit"]) != 0, x["neg"]).otherwise(0.0))
+        met = visit.join(posts, "t").where(F.col("left") >= F.col("theta")).where(most >= F.col("theta")).select("q", "c").distinct()
+        asked = q.select("q", "theta", "own").join(queries.where("df > 0").select(F.col("ent").alias("q"), "t", "kind", "w"), "q")
+        shared = met.join(asked, "q").join(docs.select(F.col("ent").alias("c"), "t"), ["c", "t"])
+        scored = shared.groupBy("q", "c").agg(F.sum("w").alias("score"), F.sum(F.when(F.col("kind") != "i", F.col("w")).otherwise(0.0)).alias("plain"), F.max("own").alias("own"), F.max("theta").alias("theta"))
+        return scored.where("score >= theta").drop("theta")
+
+    floored = q.withColumn("theta", F.col("own") * floor - 1e-9)
+    if not near:
+        return search(floored)
+    first = materialize(search(q.withColumn("theta", F.col("own") * max(sure, floor) - 1e-9)).groupBy("q").agg((near * F.max("score") - 1e-9).alias("bound")))
+    found = materialize(search(floored.join(first, "q", "left").withColumn("theta", F.greatest("theta", F.coalesce("bound", F.lit(0.0)))).drop("bound")))
+    return found.join(found.groupBy("q").agg(F.max("score").alias("q_best")), "q").where(F.col("score") >= near * F.col("q_best"))
 
 
 def _aligned(name_q: pd.Series, names: pd.Series) -> pd.DataFrame:
@@ -200,15 +212,11 @@ def entity_pairs(
     n = F.lit(lp.select("ent").distinct().count())
     dfs = d_terms.groupBy("t").agg(F.count("*").alias("df"))
     docs, queries = materialize(_weighted(d_terms, dfs, n)), materialize(_weighted(q_terms, dfs, n))
-    scored = materialize(retrieve(docs, queries, floor))
+    scored = materialize(retrieve(docs, queries, floor, near))
     # each among the other's nearest: the records of an entity are compared by the share of themselves that they find in it
     share = F.col("score") / F.col("own")
-    best = scored.groupBy("q").agg(F.max("score").alias("q_best"))
-    scored = scored.join(best, "q")
-    is_near = F.col("score") >= near * F.col("q_best")
-    far = scored.where(~is_near).groupBy("q").agg(F.max("plain").alias("far"))
     c_best = scored.groupBy("c").agg(F.max(share).alias("c_best"))
-    close = scored.where(is_near).join(c_best, "c").where(share >= near_record * F.col("c_best"))
+    close = scored.join(c_best, "c").where(share >= near_record * F.col("c_best"))
     # an entity shows its fullest and its commonest name
     names = lp.where("name is not null").groupBy("ent", "name").agg(F.count("*").alias("n")).groupBy("ent")
     names = names.agg(F.array_distinct(F.array(F.max_by("name", F.struct(F.length("name"), F.col("name"))), F.max_by("name", F.struct("n", "name")))).alias("names"))
@@ -224,8 +232,9 @@ def entity_pairs(
     rank = F.element_at(F.create_map(*[F.lit(x) for k, r in (("full", 4), ("short", 3), ("cut", 2), ("loose", 1), ("near", 0), ("none", 0)) for x in (k, r)]), F.col("a.kind"))
     pairs = pairs.withColumn("rank", rank)
     other = pairs.where("rank = 0").groupBy("q").agg(F.max("plain").alias("rival"))
-    pairs = pairs.join(far, "q", "left").join(other, "q", "left")
-    gap = F.col("plain") - F.greatest(F.coalesce("far", F.lit(0.0)), F.when(F.col("rank") > 0, F.coalesce("rival", F.lit(0.0))).otherwise(F.lit(0.0)))
+    pairs = pairs.join(other, "q", "left")
+    # nothing near that does not align is at most at the border of what is near
+    gap = F.col("plain") - F.when(F.col("rank") > 0, F.coalesce("rival", near * F.col("plain"))).otherwise(near * F.col("plain"))
     kinds = [(F.col("a.kind") == k).cast("double") for k in KINDS[:-1]]
     features = F.array(F.lit(1.0), F.col("plain") / F.col("own"), gap / F.col("own"), *kinds)
     pairs = pairs.select("q", "c", "score", "own", "said", "a", "rank", "named_q", "named_c", features.alias("features"), F.when(F.col("named_q") & F.col("named_c"), F.when(F.col("said") > 0, 1).when(F.col("said") < 0, 0)).alias("y"))
