@@ -12,7 +12,7 @@ from periodiq.llm.linking import link_entities
 from periodiq.llm.mixing import mix_report, mix_sources
 from periodiq.llm.packing import container_assignments, pack_bins, packing_report
 from periodiq.llm.residue import residue
-from periodiq.llm.survivor import field_truths, survivors
+from periodiq.llm.survivor import field_truths, judged_true, survivors
 from periodiq.llm.tokens import token_sizes
 from periodiq.llm.variants import link_variants
 from periodiq.llm.venues import venue_classes
@@ -30,10 +30,17 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return p3_links(spark, sf).select("journal_id", "openalex_cache_id")
 
 
-def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+def _truths(spark: SparkSession, sf: str) -> DataFrame:
     journals = table(spark, sf, "journals")
-    classes = materialize(venue_classes(journals, "id", "display_name", ("issn", "eissn")))
-    return survivors(field_truths(journals, classes))
+    return field_truths(journals, materialize(venue_classes(journals, "id", "display_name", ("issn", "eissn"))))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return survivors(_truths(spark, sf))
+
+
+def p4_truths(spark: SparkSession, sf: str) -> DataFrame:
+    return judged_true(_truths(spark, sf))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_links": p3_links,
     "p4_found": p4_found,
+    "p4_truths": p4_truths,
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_unmatched": p7_unmatched,

@@ -5,7 +5,7 @@ from itertools import product
 import numpy as np
 
 from periodiq.llm.linking import fit_logistic, link_entities, retrieve
-from periodiq.llm.survivor import field_truths, survivors
+from periodiq.llm.survivor import claim_facts, dominated_values, field_truths, judged_true, latent_truth, survivors
 from periodiq.llm.venues import venue_classes
 
 PLACES = ["Gidonheim", "Pakolund", "Zirbova", "Mukatres", "Denifol", "Wostrina", "Halubek", "Torvimar"]
@@ -58,6 +58,11 @@ def test_pruned_retrieval_equals_scoring_of_all_pairs(spark):
                 want.add((q, c, round(score, 6), round(sum(weight[t] for t in set(ts) & set(us) if t[0] != "i"), 6)))
     got = {(r.q, r.c, round(r.score, 6), round(r.plain, 6)) for r in retrieve(frame(docs), frame(asked), 0.45).collect()}
     assert got == want and len(want) > 300
+    best = {}
+    for q, _, score, _ in want:
+        best[q] = max(score, best.get(q, 0))
+    got = {(r.q, r.c, round(r.score, 6), round(r.plain, 6)) for r in retrieve(frame(docs), frame(asked), 0.45, 0.6).collect()}
+    assert got == {w for w in want if w[2] >= 0.6 * best[w[0]]}
 
 
 def test_links_found_by_common_words_alone(spark):
@@ -135,3 +140,48 @@ def test_groups_by_number_and_repeats(spark):
 def test_no_groups(spark):
     assert truth(spark, []) == {}
     assert truth(spark, [listing(1, "Gidonheim Journal of Optics"), listing(2, None), listing(3, "y" * 20_000)]) == {}
+
+
+def test_rates_are_inferred_and_decide(spark):
+    # source "good" is right, "bad" mostly wrong; in a third of the groups only these two differ
+    rng, data, i = random.Random(11), [], 0
+    for g in range(120):
+        right, wrong = issn(2000 + g), issn(7000 + g)
+        for src in ("good", "bad", "x", "y")[: 2 if g % 3 == 0 else 4]:
+            i += 1
+            data.append(listing(i, f"{PLACES[g % 8]}{chr(97 + g // 8)} Journal of {SUBJECTS[g % 4]}", wrong if src == "bad" and rng.random() < 0.8 else right, None, None, src))
+    d = spark.createDataFrame(data, LISTINGS)
+    classes = d.selectExpr("id", "display_name as class")
+    facts, sources, observers = claim_facts(d, classes, "id", "source_name", "updated_at")
+    _, rates, rounds = latent_truth(facts, sources, observers)
+    assert 1 < rounds < 100
+    truths = field_truths(d, classes)
+    got = {r.record_id for r in survivors(truths).where("field_name = 'issn'").collect()}
+    good = {r[0] for r in data if int(r[2][:4] + r[2][5:8]) < 7000}
+    assert len(got & good) >= 0.95 * 120
+    once = survivors(field_truths(d, classes, rounds=1)).where("field_name = 'issn'").collect()
+    assert {r.record_id for r in once} != got or len(once) == len(got)
+
+
+def test_several_values_may_be_true(spark):
+    data = [listing(1, "Gidonheim Journal of Optics", issn(1), issn(2), None, "a"), listing(2, "Gidonheim Journal of Optics", issn(1), issn(3), None, "b"), listing(3, "Gidonheim Journal of Optics", issn(1), issn(3), None, "c"), listing(4, "Gidonheim Journal of Optics", issn(1), issn(2), None, "d")]
+    d = spark.createDataFrame(data, LISTINGS)
+    got = judged_true(field_truths(d, d.selectExpr("id", "display_name as class")), -50.0)
+    assert {(r.field_name, r.record_id) for r in got.collect()} == {("display_name", 1), ("issn", 1), ("eissn", 1), ("eissn", 2)}
+
+
+def test_groups_answered_for_in_parts(spark):
+    data = [listing(i, f"Gidonheim Journal of Optics{'' if i % 3 else ', Vol. ' + str(i)}", issn(i % 7 + 1), None, f"Press of {PLACES[i % 8]}", "ab"[i % 2]) for i in range(1, 60)]
+    d = spark.createDataFrame(data, LISTINGS)
+    classes = d.selectExpr("id", "'k' as class")
+    rows_of = lambda n: sorted((r.field, r.v, r.support, tuple(r.observer), tuple(r.yes), tuple(r.no)) for r in claim_facts(d, classes, "id", "source_name", "updated_at", n)[0].collect())
+    assert rows_of(3) == rows_of(1000)
+
+
+def test_dominated_values_against_all_pairs(spark):
+    rng = random.Random(2)
+    values = {" ".join(sorted(rng.sample("abcdefgh", rng.randint(1, 5)))): rng.randint(1, 9) for _ in range(80)}
+    df = {t: sum(n for v, n in values.items() if t in v.split()) for t in "abcdefgh"}
+    words = spark.createDataFrame([(v, n, t, df[t]) for v, n in values.items() for t in v.split()], "v string, n int, token string, df int")
+    want = {v for v, n in values.items() if any(m >= 2 * n and set(v.split()) < set(w.split()) for w, m in values.items())}
+    assert {r.v for r in dominated_values(words).collect()} == want
