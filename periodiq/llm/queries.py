@@ -14,7 +14,7 @@ from periodiq.llm.packing import container_assignments, pack_bins, packing_repor
 from periodiq.llm.residue import residue
 from periodiq.llm.survivor import field_truths, judged_true, survivors
 from periodiq.llm.tokens import token_sizes
-from periodiq.llm.variants import link_variants
+from periodiq.llm.variants import link_variants, variant_classes
 from periodiq.llm.venues import venue_classes
 from periodiq.session import materialize, table
 
@@ -43,10 +43,18 @@ def p4_truths(spark: SparkSession, sf: str) -> DataFrame:
     return judged_true(_truths(spark, sf))
 
 
-def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+def _names(spark: SparkSession, sf: str) -> tuple[list[tuple[DataFrame, str]], DataFrame]:
     bib = table(spark, sf, "bibtex_entries")
     known = table(spark, sf, "venue_acronyms").select("acronym", F.col("canonical").alias("name"))
-    return link_variants([(bib, "journal_name"), (bib, "booktitle"), (table(spark, sf, "journal_names"), "name")], known)
+    return [(bib, "journal_name"), (bib, "booktitle"), (table(spark, sf, "journal_names"), "name")], known
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return link_variants(*_names(spark, sf))
+
+
+def p6_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return variant_classes(*_names(spark, sf))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_truths": p4_truths,
     "p6_found": p6_found,
+    "p6_classes": p6_classes,
     "p7_found": p7_found,
     "p7_unmatched": p7_unmatched,
     "p8_assignments": p8_assignments,

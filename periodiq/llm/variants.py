@@ -6,10 +6,12 @@ rarest of its so corrected tokens a key falls into a block, so that all
 spellings of a name meet without pairs being formed. In a block, keys join the
 fullest name with which an optimal assignment pairs all their tokens.
 
-A key also goes to the blocks of its next two tokens if those are met in no more
-than 100 keys or the square root of all keys, so that a misspelling as its rarest word
-does not part it from its kin, while common words never make a block. The edges
-are star-shaped and are closed into classes by a few rounds of minimum labels.
+So that a misspelling as its rarest word does not part a key from its kin, it
+also goes to the blocks of pairs of its three rarest words, one of them told only
+by how it begins or by its first and last letter: spellings that align share one
+of these, whatever the size of the table, and common words never make a block by
+themselves. The edges are star-shaped and are closed into classes by rounds of
+minimum labels, run until nothing changes.
 """
 
 from __future__ import annotations
@@ -147,9 +149,12 @@ def name_classes(read: DataFrame) -> DataFrame:
     ranked = of_key.join(tokens, "token").where(F.length("rep") >= 2)
     dull = F.col("rep").isin(sorted(GENERIC)) | (F.length("rep") < 4)
     ranked = ranked.groupBy("key").agg(F.slice(F.sort_array(F.collect_set(F.struct(dull.alias("dull"), "weight", "rep"))), 1, 3).alias("r"))
-    rare = max(100.0, keys.count() ** 0.5)
-    use = F.filter("r", lambda x, i: (i == 0) | (~x["dull"] & (x["weight"] <= rare)))
-    blocks = ranked.select("key", F.explode(F.array_distinct(F.transform(use, lambda x: x["rep"]))).alias("block"))
+    # of two words, the one told by how it begins and by its first and last letter may be misspelt or cut short
+    marks = lambda w: F.array(F.substring(w, 1, 2), F.concat(F.substring(w, 1, 1), F.lit("."), F.right(w, F.lit(1))))
+    telling = F.transform(F.filter("r", lambda x: ~x["dull"]), lambda x: x["rep"])
+    split = F.flatten(F.transform("t", lambda x: F.flatten(F.transform(F.filter("t", lambda y: y != x), lambda y: F.transform(marks(y), lambda m: F.concat(x, F.lit("|"), m))))))
+    ranked = ranked.select("key", F.col("r")[0]["rep"].alias("rarest"), telling.alias("t"))
+    blocks = ranked.select("key", F.explode(F.array_distinct(F.concat(F.array("rarest"), split))).alias("block"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # blocks arrive in order; most are tiny, so they share frames
@@ -176,8 +181,11 @@ def name_classes(read: DataFrame) -> DataFrame:
     return classes_of(keys.select("key"), materialize(edges.where("key <> hub").distinct()))
 
 
-def classes_of(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(key, class): connected components by minimum labels; stars of small diameter end after two or three rounds."""
+def classes_of(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(key, class): connected components by minimum labels and jumps to the label's label; stars end after two or three rounds.
+
+    Labels that still change after `rounds` are an error, never a result.
+    """
     both = edges.select(F.col("key").alias("a"), F.col("hub").alias("b")).unionByName(edges.select(F.col("hub").alias("a"), F.col("key").alias("b")))
     linked = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("class"))
     label = materialize(linked)
@@ -190,6 +198,8 @@ def classes_of(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFram
         label = new.select("key", "class")
         if not new.where("class <> old").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"classes still change after {rounds} rounds")
     return nodes.join(label, "key", "left").select("key", F.coalesce("class", "key").alias("class"))
 
 
@@ -233,6 +243,24 @@ def variant_pairs(classed: DataFrame, per_salt: int = 256) -> DataFrame:
     return left.join(right, ["class", "salt"]).where("name_a < name_b").select("name_a", "name_b")
 
 
+def _every(frames: list[tuple[DataFrame, str]]) -> DataFrame:
+    every = None
+    for df, column in frames:
+        d = df.select(F.col(column).alias("s")).where(F.col("s").isNotNull()).distinct()
+        every = d if every is None else every.unionByName(d)
+    return every
+
+
+def variant_classes(frames: list[tuple[DataFrame, str]], known: DataFrame | None = None) -> DataFrame:
+    """(name, class, links): the class of every string, named by its least string, and how many others it links to.
+
+    The form of link_variants that grows with the strings and not with the pairs.
+    """
+    classed = materialize(string_classes(_every(frames), known=known))
+    size = classed.groupBy("class").agg(F.min("s").alias("least"), (F.count("*") - 1).alias("links"))
+    return classed.join(size, "class").select(F.col("s").alias("name"), F.col("least").alias("class"), "links")
+
+
 def link_variants(frames: list[tuple[DataFrame, str]], known: DataFrame | None = None) -> DataFrame:
     """Pairs of different strings of the given columns that denote the same venue.
 
@@ -241,8 +269,4 @@ def link_variants(frames: list[tuple[DataFrame, str]], known: DataFrame | None =
     whole. Other columns are not looked at. known (acronym, name) tells what
     acronyms stand for; its names come out only if a column holds them.
     """
-    every = None
-    for df, column in frames:
-        d = df.select(F.col(column).alias("s")).where(F.col("s").isNotNull()).distinct()
-        every = d if every is None else every.unionByName(d)
-    return variant_pairs(materialize(string_classes(every, known=known)))
+    return variant_pairs(materialize(string_classes(_every(frames), known=known)))
