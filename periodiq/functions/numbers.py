@@ -57,3 +57,23 @@ def ladder(c: Column, steps: list[tuple[float, str]], default: str) -> Column:
 def flags(*conditions: tuple[Column, str]) -> Column:
     """Texts of the conditions that hold, in order."""
     return F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in conditions]))
+
+
+def percent_coverage(current: Column, overall: Column) -> Column:
+    """A share in percent: the current one, else that over all time, else 0 (FM-05)."""
+    return F.coalesce(current, overall, F.lit(0.0)) * 100.0
+
+
+def by_volume(confidence: Column, n: Column, many: int = 1000, few: int = 50) -> Column:
+    """Confidence raised by a tenth up to 1 for many works, lowered by a fifth down to 0.1 for few (FM-10)."""
+    return F.when(n >= many, F.least(confidence * 1.1, F.lit(1.0))).when(n < few, F.greatest(confidence * 0.8, F.lit(0.1))).otherwise(confidence)
+
+
+def size_class(n: Column) -> Column:
+    """very small below 50, small to medium below 10,000, else large (FLT-24)."""
+    return F.when(n < 50, "very small").when(n < 10_000, "small to medium").when(n.isNotNull(), "large")
+
+
+def backoff_seconds(attempt: Column, first: float = 1.0, most: float = 60.0) -> Column:
+    """Wait before an attempt, doubled each time up to a bound; attempts count from 0 (FM-07)."""
+    return F.least(F.lit(first) * F.pow(F.lit(2.0), attempt), F.lit(most))

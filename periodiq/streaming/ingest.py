@@ -62,6 +62,11 @@ def read_through(keys: DataFrame, cache: DataFrame, compute, key: str, expires:
     return valid.unionByName(fresh), fresh
 
 
-def retry_set(results: DataFrame, status: str = "status") -> DataFrame:
+def retry_set(results: DataFrame, status: str = "status", transient: Sequence[str] = ("timeout", "rate_limited", "error")) -> DataFrame:
     """Rows whose status passes, to go into the next micro-batch (ST-09)."""
-    return results.where(F.col(status).isin("timeout", "rate_limited", "error"))
+    return results.where(F.col(status).isin(*transient))
+
+
+def mapped_status(seconds: Column, code: Column, limit: float) -> Column:
+    """Status of an answer: timeout beyond the limit, rate_limited, error, not_found or found (ST-10, ST-11)."""
+    return F.when(seconds > limit, "timeout").when(code == 429, "rate_limited").when(code == 404, "not_found").when(code >= 400, "error").when(code.isNull(), "error").otherwise("found")
