@@ -13,6 +13,8 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -24,6 +26,11 @@ _LETTERS = {"\\ss": "ß", "\\ae": "æ", "\\AE": "Æ", "\\oe": "œ", "\\OE": "Œ"
 _LETTER = re.compile(r"\\(ss|ae|AE|oe|OE|aa|AA|o|O|l|L|i|j)(?![A-Za-z])\s*(?:\{\})?")
 _COMMAND = re.compile(r"\\(?:text\w+|emph|mbox|uppercase|lowercase|url|em|bf|it|sc|rm|tt)\b\s*(?:\{([^{}]*)\})?")
 
+_SIGNS = "&%$#_{}\\~^"
+_SIGN = re.compile(f"[\ue000-{chr(0xE000 + len(_SIGNS) - 1)}]")
+_NAMED = {"textbackslash": "\\", "textasciitilde": "~", "textasciicircum": "^"}
+_ESCAPED = re.compile(r"\\(textbackslash|textasciitilde|textasciicircum)(?![A-Za-z])\s*(?:\{\})?|\\([&%$#_{}])")
+
 
 def latex_text(value: str) -> str:
     """Plain text of a LaTeX value: accents, letters, formatting commands, escapes, braces, blanks."""
@@ -32,15 +39,17 @@ def latex_text(value: str) -> str:
         mark, letter = (m.group(1), m.group(2)) if m.group(1) else (m.group(3), m.group(4) or m.group(5))
         return unicodedata.normalize("NFC", letter.lstrip("\\") + _MARKS[mark])
 
-    s = re.sub(r"\$\s*\^\s*\{?\s*(?:\\\w+\s*\{)?(st|nd|rd|th)\}*\s*\$", r"\1", value)
+    # signs written as such stay, whatever else is taken off
+    s = _ESCAPED.sub(lambda m: chr(0xE000 + _SIGNS.index(m.group(2) or _NAMED[m.group(1)])), value)
+    s = re.sub(r"\$\s*\^\s*\{?\s*(?:\\\w+\s*\{)?(st|nd|rd|th)\}*\s*\$", r"\1", s)
     s = _ACCENT.sub(accent, s)
     s = _LETTER.sub(lambda m: _LETTERS["\\" + m.group(1)], s)
     before = None
     while before != s:
         before, s = s, _COMMAND.sub(lambda m: m.group(1) or "", s)
     s = re.sub(r"\$[^$]*\$", "", s)
-    s = re.sub(r"\\([&%$#_{}])", r"\1", s).replace("~", " ").replace("--", "-")
-    return " ".join(s.replace("{", "").replace("}", "").split())
+    s = " ".join(s.replace("~", " ").replace("--", "-").replace("{", "").replace("}", "").split())
+    return _SIGN.sub(lambda m: _SIGNS[ord(m.group()) - 0xE000], s)
 
 
 def _value(text: str, i: int, strings: dict[str, str]) -> tuple[str, int]:
@@ -120,6 +129,32 @@ def parse_entries(text: str) -> Iterator[tuple[str, str | None, dict[str, str] |
             yield kind, None, None, str(e)
 
 
+def _rows(name: str, raw: bytes, strict: bool) -> Iterator[tuple]:
+    try:
+        text = raw.decode("utf-8")
+    except UnicodeDecodeError:
+        text = raw.decode("latin-1")
+    for pos, (kind, key, fields, error) in enumerate(parse_entries(text)):
+        if error and strict:
+            raise ValueError(f"{name}, entry {pos}: {error}")
+        yield name, pos, kind, key, None if fields is None else {k: latex_text(v) for k, v in fields.items()}, error
+
+
+SCHEMA = "file string, pos int, entry_type string, entry_key string, fields map<string,string>, error string"
+
+
+def read_bibtex(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Rows (file, pos, entry_type, entry_key, fields, error) of files on any file system that Spark reads (SRC-20, SRC-30)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in SCHEMA.split(", ")]
+        for pdf in batches:
+            for name, raw in zip(pdf["path"].tolist(), pdf["content"].tolist(), strict=True):
+                yield pd.DataFrame(list(_rows(name, raw, strict)), columns=columns)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.path, self.strict = options["path"], options.get("mode", "relaxed") == "strict"
@@ -133,15 +168,7 @@ class _Reader(DataSourceReader):
         if partition is None:
             return
         with open(partition.value, "rb") as f:
-            raw = f.read()
-        try:
-            text = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            text = raw.decode("latin-1")
-        for pos, (kind, key, fields, error) in enumerate(parse_entries(text)):
-            if error and self.strict:
-                raise ValueError(f"{partition.value}, entry {pos}: {error}")
-            yield partition.value, pos, kind, key, None if fields is None else {k: latex_text(v) for k, v in fields.items()}, error
+            yield from _rows(partition.value, f.read(), self.strict)
 
 
 class BibtexSource(DataSource):
@@ -152,7 +179,7 @@ class BibtexSource(DataSource):
         return "bibtex"
 
     def schema(self) -> str:
-        return "file string, pos int, entry_type string, entry_key string, fields map<string,string>, error string"
+        return SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(dict(self.options))

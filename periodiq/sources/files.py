@@ -184,6 +184,27 @@ def read_list_html(spark: SparkSession, path: str) -> DataFrame:
     return ingest_rows(d, F.col("name"), publisher=F.col("code"), urls=url_set(F.col("url")), least=3)
 
 
+# fixed values: headings of a page's own furniture
+PAGE_HEADINGS = ("visit website", "read more", "search", "categories", "recent posts", "archives", "tags", "follow us", "share this", "related posts")
+
+
+def read_heading_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(name, url) of the headings of list pages, with the link that follows a heading before the next one (SRC-15).
+
+    A heading without a link stays with a null address; headings of the page itself are no entries.
+    """
+    html = spark.read.text(path, wholetext=True)
+    part = html.select(F.explode(F.slice(F.split("value", r"(?i)<h4[^>]*>"), 2, 1_000_000_000)).alias("p"))
+    d = part.select(strip_html(F.regexp_extract("p", r"(?is)^(.*?)</h4>", 1)).alias("name"), F.regexp_extract("p", r'(?is)<a[^>]*href="([^"]*)"[^>]*>\s*visit website', 1).alias("url"))
+    return d.where((F.length("name") >= 3) & ~F.lower("name").isin(*PAGE_HEADINGS)).select("name", F.when(F.col("url") != "", F.col("url")).alias("url"))
+
+
+def read_paged(spark: SparkSession, folder: str, pages: int, total: int, per_page: int = 50, most: int = 200) -> DataFrame:
+    """Lines of the pages 1, 2, ... of a listing that was fetched into a folder: as many as its total needs, never over `most` (SRC-12)."""
+    wanted = [f"{folder}/page-{i}*" for i in range(1, min(pages, most, -(-total // per_page)) + 1)]
+    return spark.read.text(wanted) if wanted else spark.createDataFrame([], "value string")
+
+
 def read_clone_pairs(spark: SparkSession, path: str) -> DataFrame:
     """(number, side, title, publisher, issn) of numbered `Title - ... Publisher ... ISSN ...` pairs (SRC-13)."""
     html = spark.read.text(path, wholetext=True)
