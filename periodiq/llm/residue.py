@@ -10,9 +10,10 @@ slots    Candidates for a retained variable name, default or blank are found by
          sentence: the text only speaks of it.
 filler   Runs of filler words, and whole sentences of filler.
 pages    Error messages and notices that scripts are needed, as repeated
-         whole-page templates: sentences of such messages seed them, page
-         furniture is learned as the sentences that stand mostly beside seeds,
-         and a text is a page if nothing else is in it but a title line.
+         whole-page templates: sentences of such messages seed them, the lines of
+         a site are learned as the sentences that stand mostly beside seeds, on
+         their own or run together with a message, and a text is a page if
+         nothing else is in it but a title line.
 
 Shuffled are only candidates with their contexts and hashed sentences with
 counts, pre-aggregated on the map side.
@@ -60,7 +61,7 @@ _WEAK = "|".join(
 _CANDIDATE = re.compile(rf"(?P<strong>{_STRONG})|(?P<weak>{_WEAK})")
 _MARKUP = re.compile(r"<(?:a|abbr|b|big|blockquote|body|br|center|cite|code|dd|div|dl|dt|em|font|h\d|head|hr|html|i|img|li|ol|p|pre|q|s|small|span|strike|strong|sub|sup|table|td|th|title|tr|tt|u|ul)>$", re.I)
 # what the JVM sends to Python: a superset of the candidates
-MAY_HOLD = r"[{<\[«]|&lt;|%\S|##|@@|__|\$\w|~\w|\*\||\?\?\?|!!|\|\||\.{4}|-{6}|(?i)\bnull\b|\bundefined\b|\bnan\b|\btbd\b|x{4}|to be (?:completed|added|announced)"
+MAY_HOLD = r"[{<\[«]|&lt;|%\S|##|@@|__|\$\w|~\w|\*\||\?\?\?|!!|\|\||\.{4}|-{6}|(?i)\bnull\b|\bundefined\b|\bnan\b|\btbd\b|x{4}|\bn\.?n\.?,|to be (?:completed|added|announced)"
 SENTENCE = r"\n+|(?<=[.!?…])\s+"
 _WORD = re.compile(r"◦|\w+|[^\w\s]")
 # fixed values: labels of blank forms stand before a colon
@@ -98,7 +99,7 @@ def slot_candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
                 if "◦" in t:
                     t = t.replace("◦", "o")
                 for s in split.split(t):
-                    rows.extend((k, re.sub(r"\d+", "0", s)[:2000], *c) for c in _contexts(s))
+                    rows.extend((k, re.sub(r"\d+", "0", s), *c) for c in _contexts(s))
             yield pd.DataFrame(rows, columns=["_key", "sentence", "fill", "strong", "c_both", "c_left", "c_right", "c_near"])
 
     d = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col("_text").rlike(MAY_HOLD))
@@ -110,7 +111,7 @@ def unfilled_slots(docs: DataFrame, key: str, text: str, literal_from: int = 3)
     """Keys of texts with a candidate in an induced slot."""
     c = materialize(slot_candidates(docs, key, text))
     ctx = c.select("fill", "sentence", F.explode(F.array("c_both", "c_left", "c_right", "c_near")).alias("context")).groupBy("context").agg(
-        (F.min("fill") != F.max("fill")).alias("varies"), F.approx_count_distinct("sentence").alias("sentences")
+        (F.min("fill") != F.max("fill")).alias("varies"), F.count_distinct("sentence").alias("sentences")
     )
     ctx = materialize(ctx)
     d = c
@@ -175,24 +176,47 @@ _NOTICE = (
     rf"|(?:cookies and )?scripts are (?:blocked|disabled|turned off|switched off)"
     rf"|java ?script (?:is|seems|est|ist|está)[^.!?\n©]{{0,70}}(?:off|disabled|désactivé|deaktiviert|desactivado)[^.!?\n©]{{0,40}}"
 )
-_FURNITURE = (
-    r"home \| issues \| about \| contact|home issues about|skip to main content|\breload\b|\bloading\b|\bnginx\b|apache server at port \d+|request id: [\d-]+|reference #[\d.]+"
-    r"|go back to the home page(?: or use the search box)?|try again later|we apologi[sz]e for the inconvenience|if the problem persists, contact the site administrator"
-    r"|zurück zur startseite|retour à l[’']accueil|volver al inicio|bitte versuchen sie es später erneut|veuillez réessayer plus tard|inténtelo más tarde|(?:fehler)?code ?: ?\d+|código: \d+"
-    r"|cookies are required as well|some features will not load|the article viewer cannot start|your browser is not supported|switch it on and reload|©[^\n]*"
-)
+# what any site has, a bar of links included; a site's own lines are learned beside the seeds
+_FURNITURE = r"\breload\b|\bloading\b|\bnginx\b|apache server at port \d+|request id: [\d-]+|reference #[\d.]+|(?:fehler|error )?(?:code|código|fehlercode) ?: ?\d+|©[^\n]*|(?:\p{L}+(?: \p{L}+)? ?[|·•»] ?){2,}\p{L}+"
 # every wording begins a word, so the alternatives are tried at word starts only
 MESSAGE = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{_ERROR}|{_NOTICE})"
 PAGE_PART = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{_ERROR}|{_NOTICE}|{_FURNITURE})"
+# every wording of _ERROR and _NOTICE holds one of these, so a text without any is not taken apart for them
+MESSAGE_WORDS = (
+    "script", "js", "forbidden", "unauthori", "denied", "refusé", "verweigert", "denegado", "server error", "serverfehler", "erreur interne", "error interno", "bad gateway", "bad request",
+    "unavailable", "gateway time", "too many", "be found", "not found", "nicht gefunden", "existiert nicht", "no encontrada", "no existe", "introuvable", "existe pas", "indisponible",
+    "nicht erreichbar", "no disponible", "maintenance", "wartungsarbeiten", "nicht verfügbar", "mantenimiento", "under construction", "back shortly", "database connection", "base de données",
+    "datenbank", "base de datos", "sqlstate", "warning:", "fatal error", "parse error", "traceback", "uncaught", "java.", "dns lookup", "was reset", "timeout", "timed out", "be reached",
+    "domain", "suspended", "session has expired", "session a expiré", "sitzung", "sesión", "rate limit", "slow down", "security token", "index of /", "went wrong", "server encountered",
+    "permission", "logged in", "signed in", "sign in", "log in", "melden sie sich", "human", "security check", "your browser",
+)
 COVERED = r"^[§\W\d_]*$"
 TITLED = r"^[^§\n]{3,160}§[§\W\d_]*$"
 
 
+# likewise every wording of _FILLER
+FILLER_WORDS = (
+    "sample", "dummy", "filler", "placeholder", "demo", "default", "blind", "here", "in this", "your own", "remplissage", "relleno", "simulado", "ejemplo", "platzhalter", "beispieltext", "fülltext", "mustertext", "ici", "aquí", "hier",
+)
+
+
+def _holds(low: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(low, F.lit(w))
+    return out
+
+
+def _signature(c: Column) -> Column:
+    """A sentence whatever its case, numbers and the marks around it."""
+    return F.xxhash64(F.regexp_replace(F.lower(F.regexp_replace(c, r"^[\W\d_]+|[\W\d_]+$", "")), r"\d+", "0"))
+
+
 def _page_parts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Sentences with their place, hash and signs; rest is what messages and furniture leave of a sentence."""
     s = F.posexplode(F.split(F.col("_text"), SENTENCE)).alias("pos", "s")
-    d = docs.select(F.col(key).alias("_key"), F.regexp_replace(text, "§", "S").alias("_text")).select("_key", s).where(F.col("s").rlike(r"\w"))
-    may = F.col("s").rlike(MESSAGE)
+    d = docs.select(F.col(key).alias("_key"), F.replace(F.col(text), F.lit("§"), F.lit("S")).alias("_text"), _holds(F.lower(text), MESSAGE_WORDS).alias("_hinted")).select("_key", "_hinted", s).where(F.col("s").rlike(r"\w"))
+    may = F.col("_hinted") & F.col("s").rlike(MESSAGE)
     d = d.withColumn("rest", F.when(may, F.regexp_replace("s", PAGE_PART, "§")))
     head = F.regexp_replace("rest", r"§[\s\S]*$", "")
     capital = F.regexp_count(head, F.lit(r"(?<!\p{L})\p{Lu}")) >= F.regexp_count(head, F.lit(r"(?<!\p{L})\p{Ll}\p{L}{3,}"))
@@ -201,33 +225,41 @@ def _page_parts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return d.select(
         "_key",
         "pos",
-        F.xxhash64(F.regexp_replace(F.lower(F.regexp_replace("s", r"[\s.!?…:]+$", "")), r"\d+", "0")).alias("sig"),
+        _signature(F.col("s")).alias("sig"),
+        F.col("rest").isNotNull().alias("told"),
+        # what follows the message in its sentence, if nothing or a title stands in front
+        F.when(F.col("rest").isNotNull() & (~head.rlike(r"\p{L}") | (capital & (F.length(head) <= 160))), _signature(F.regexp_replace(F.regexp_replace("rest", r"^[^§]*§", ""), r"[§\s]+", " "))).alias("sig_left"),
         (covered | F.coalesce(F.col("rest").rlike(TITLED) & capital, F.lit(False))).alias("seed"),
         covered.alias("whole"),
-        F.col("s").rlike(rf"(?i)^(?:[\s.!?]*(?:{_FURNITURE}))+[\s.!?]*$").alias("furniture"),
-        (((F.length("s") < 400) & F.col("s").rlike(FILLER) & ~F.col("s").rlike(_SAID)) | F.col("s").rlike(FILLER_RUN)).alias("filler"),
-        F.size(F.split(shown, r"\s+")).alias("words"),
-        ((F.size(F.split(shown, r"\s+")) <= 6) | (F.regexp_count(shown, F.lit(r"(?<!\p{L})\p{Lu}")) >= F.regexp_count(shown, F.lit(r"(?<!\p{L})\p{Ll}\p{L}{3,}")))).alias("titular"),
+        (F.col("_hinted") & F.col("s").rlike(rf"(?i)^(?:[\s.!?]*(?:{_FURNITURE}))+[\s.!?]*$")).alias("furniture"),
+        ((_holds(F.lower("s"), FILLER_WORDS) & F.col("s").rlike(FILLER) & ~F.col("s").rlike(_SAID)) | F.col("s").rlike(FILLER_RUN)).alias("filler"),
+        F.when(F.col("_hinted"), F.size(F.split(shown, r"\s+"))).otherwise(0).alias("words"),
+        (F.col("_hinted") & ((F.size(F.split(shown, r"\s+")) <= 6) | (F.regexp_count(shown, F.lit(r"(?<!\p{L})\p{Lu}")) >= F.regexp_count(shown, F.lit(r"(?<!\p{L})\p{Ll}\p{L}{3,}"))))).alias("titular"),
     )
 
 
 def message_pages(parts: DataFrame, furniture_share: float = 0.5) -> DataFrame:
     """Keys of texts that consist of messages, their furniture and at most a leading title."""
-    per_doc = parts.groupBy("_key").agg(F.max("seed").alias("has_seed"))
-    seeded = parts.join(per_doc.where("has_seed").select("_key"), "_key", "left_semi")
+    told = parts.where("told").select("_key").distinct()
+    near = parts.join(told, "_key", "left_semi")
+    seeded = near.join(near.where("seed").select("_key").distinct(), "_key", "left_semi")
     beside = seeded.groupBy("sig").agg(F.count_distinct("_key").alias("n_beside"))
     overall = parts.join(beside.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.count_distinct("_key").alias("n"))
-    learned = beside.join(overall, "sig").where((F.col("n") > 1) & (F.col("n_beside") >= furniture_share * F.col("n"))).select("sig", F.lit(True).alias("page"))
-    marked = seeded.join(learned, "sig", "left").withColumn("other", F.col("page").isNull() & ~F.col("whole") & ~F.col("furniture"))
+    learned = materialize(beside.join(overall, "sig").where((F.col("n") > 1) & (F.col("n_beside") >= furniture_share * F.col("n"))).select("sig", F.lit(True).alias("page")))
+    # a message that runs into a line of the site without a stop is one sentence with it
+    marked = near.join(learned, "sig", "left").join(learned.select(F.col("sig").alias("sig_left"), F.col("page").alias("joined")), "sig_left", "left")
+    marked = marked.withColumn("ends", F.coalesce("joined", F.lit(False))).withColumn("other", F.col("page").isNull() & ~F.col("whole") & ~F.col("furniture") & ~F.col("ends"))
     return (
         marked.groupBy("_key")
         .agg(
+            F.max(F.col("seed") | F.col("ends")).alias("has_seed"),
             F.count_if("other").alias("others"),
             F.max(F.when(F.col("other"), F.col("pos"))).alias("title_end"),
             F.min("pos").alias("start"),
             F.sum(F.when(F.col("other"), F.col("words"))).alias("title_words"),
             F.count_if(F.col("other") & ~F.col("titular")).alias("spoken"),
         )
+        .where("has_seed")
         # a title may be cut at its abbreviations, so it is all that stands in front
         .where("others = 0 or (spoken = 0 and title_words <= 16 and title_end - start < others)")
         .select("_key")
