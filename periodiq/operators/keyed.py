@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from periodiq.operators.rollups import top_rows
 
 def _one(df: DataFrame, keys: Sequence[str], order: Column, pick) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
@@ -91,8 +92,7 @@ def record_segments(df: DataFrame, group: str, order: str, is_start: Column) ->
 def first_distinct(df: DataFrame, key: str, value: str, order: str, n: int) -> DataFrame:
     """(key, value, place) of the first n distinct values of every key by arrival (WIN-04)."""
     seen = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(order).alias("_at"))
-    w = Window.partitionBy(key).orderBy("_at", value)
-    return seen.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select(key, value, "place")
+    return top_rows(seen, key, (F.col("_at"), F.col(value)), F.col(value), n).select(key, value, "place")
 
 
 def spikes(counts: DataFrame, key: str, year: str, n: str, factor: float, least: int) -> DataFrame:

@@ -24,11 +24,17 @@ def histogram_text(c: str | Column) -> Column:
     return F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ";")
 
 
+def top_rows(df: DataFrame, key: str, order: Sequence[Column], spread: Column, n: int, salts: int = 32) -> DataFrame:
+    """The first n rows of a key with their place. Parts of a key are cut to n rows first, so a hot key never sorts in one task."""
+    part = Window.partitionBy(key, "_salt").orderBy(*order)
+    d = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts))).withColumn("place", F.row_number().over(part)).where(F.col("place") <= n).drop("_salt", "place")
+    return d.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("place") <= n)
+
+
 def top_values(df: DataFrame, key: str, value: Column, n: int) -> DataFrame:
     """(key, value, n, place): the n commonest values of a key, ties in alphabetical order (AGG-03, SRT-01)."""
     c = df.select(F.col(key), value.alias("value")).where(F.col("value") != "").groupBy(key, "value").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(key).orderBy(F.desc("n"), "value")
-    return c.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+    return top_rows(c, key, (F.desc("n"), F.col("value")), F.col("value"), n)
 
 
 def split_list(c: Column, delimiter: str = ";") -> Column:

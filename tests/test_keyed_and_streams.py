@@ -1,9 +1,11 @@
 from datetime import datetime
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from periodiq.operators import keyed, matching, rollups
+from periodiq.session import publish
 from periodiq.streaming import ingest
 
 
@@ -72,3 +74,33 @@ def test_read_through(spark):
     answers, fresh = ingest.read_through(keys, cache, lambda d: d.select("k", F.lit("new").alias("v"), F.lit(t).alias("e")), "k", "e", F.lit(datetime(2024, 1, 1)))
     assert rows(answers.select("k", "v")) == [(1, "old"), (2, "new")]
     assert rows(fresh.select("k")) == [(2,)]
+
+
+def test_resume_guard_audit_and_registration(spark, tmp_path):
+    cp = str(tmp_path / "job")
+    ingest.guard_resume(spark, cp, "fast", "/in")
+    ingest.guard_resume(spark, cp, "fast", "/in")
+    with pytest.raises(ValueError):
+        ingest.guard_resume(spark, cp, "full", "/in")
+    log = str(tmp_path / "log")
+    for n in (1, 2):
+        ingest.audit(spark, log, "sync", "a", n, F.current_timestamp())
+    assert spark.read.parquet(log).count() == 2
+    known = spark.createDataFrame([("a", 1), ("b", 2)], "name string, level int")
+    assert rows(ingest.register_sources(known, spark.createDataFrame([("a", 9)], "name string, level int"))) == [("a", 9), ("b", 2)]
+
+
+def test_publish_replaces_whole_folders(spark, tmp_path):
+    staged, target = str(tmp_path / "staged"), str(tmp_path / "table")
+    for n in (1, 2):
+        spark.range(n).write.parquet(staged)
+        publish(spark, staged, target)
+    assert spark.read.parquet(target).count() == 2
+    with pytest.raises(RuntimeError):
+        publish(spark, staged, target)
+    assert spark.read.parquet(target).count() == 2
+
+
+def test_top_rows_of_a_hot_key(spark):
+    d = spark.range(3000).selectExpr("'hot' as k", "cast(id as string) as v").unionByName(spark.createDataFrame([("b", "x")], "k string, v string"))
+    assert rows(keyed.first_distinct(d, "k", "v", "v", 2)) == [("b", "x", 1), ("hot", "0", 1), ("hot", "1", 2)]
