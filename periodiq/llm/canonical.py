@@ -8,15 +8,15 @@ nothing. Abbreviations and initials are met by the first letter. A value meets
 every entry in which all its tokens have a partner, and every shorter entry of
 whose anchor, the token that the fewest entries share, it has a partner: no pair
 that can be aligned is left out. An optimal token assignment then
-decides which of these the value denotes. Within a bound on its size the
-reference is broadcast; beyond, it is cut into shards, every value is searched
-in every shard, and the shard winners merge by one aggregation.
+decides which of these the value denotes. The reference is cut into shards of a
+bounded size, one if it is small; every distinct value is searched in every
+shard, and the shard winners merge by one aggregation. There is one path at every
+size: a shard is sent to the tasks that search it, nothing is collected, and since
+no pair that can be aligned is left out, the cut does not change the answer.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from periodiq.llm.names import Name, align, read_name, token_match
 from periodiq.session import materialize
 
-MAX_BROADCAST = 50_000
+PER_SHARD = 50_000
 _OUT = "v string, ref bigint, kind string, score double, rivals int"
 
 
@@ -196,7 +196,7 @@ def map_values(
     column: str,
     reference: DataFrame,
     variants: DataFrame,
-    max_broadcast: int = MAX_BROADCAST,
+    per_shard: int = PER_SHARD,
 ) -> DataFrame:
     """(value, ref, kind, score) of every distinct value of the column; ref is null where it denotes no entry.
 
@@ -213,41 +213,32 @@ def map_values(
     values = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull()).distinct()
     exact = listed.where("t is not null").groupBy("t").agg(F.min("id").alias("exact"))
     single = entries.where("acronym is not null").groupBy(F.upper("acronym").alias("a")).agg(F.min("id").alias("id"), F.count_distinct("id").alias("n")).where("n = 1")
-    n = listed.limit(max_broadcast + 1).count()
-    if n <= max_broadcast:
-        rows = [tuple(r) for r in listed.collect()]
-        acronyms = {r[0]: r[1] for r in single.select("a", "id").collect()}
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            find = _search(Reference(rows, acronyms))
-            for pdf in batches:
-                yield find(pdf["v"].tolist())
-
-        found = values.mapInPandas(run, _OUT)
-    else:
-        n_all = listed.count()
-        shards = -(-n_all // max_broadcast)
-        sharded = materialize(
-            listed.join(single.select("id", F.col("a").alias("single")), "id", "left").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
-        )
-        # a value meets one shard at a time; a part keeps a task's values bounded
-        parts = max(1, values.count() // max_broadcast + 1)
-        asked = values.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(parts))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")))
-        spread = sharded.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
-
-        def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    values = materialize(values)
+    shards = max(1, -(-listed.count() // per_shard))
+    # a value meets one shard at a time; parts keep what a task holds bounded and all tasks busy
+    parts = max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-values.count() // per_shard))
+    numbered = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    sharded = listed.join(single.select("id", F.col("a").alias("single")), "id", "left").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("part", numbered(parts))
+    asked = values.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(parts))).withColumn("shard", numbered(shards))
+
+    built: dict[int, Reference] = {}  # the shard at hand, once per task
+
+    def pair(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if key[0] not in built:
             acronyms = {a: i for a, i in zip(right["single"], right["id"], strict=True) if isinstance(a, str)}
-            rows = list(zip(right["id"].tolist(), right["t"].tolist(), right["acronym"].tolist(), strict=True))
-            return _search(Reference(rows, acronyms))(left["v"].tolist())
+            rows = [(i, t if isinstance(t, str) else None, a) for i, t, a in zip(right["id"].tolist(), right["t"].tolist(), right["acronym"].tolist(), strict=True)]
+            built.clear()
+            built[key[0]] = Reference(rows, acronyms)
+        return _search(built[key[0]])(left["v"].tolist())
 
-        found = asked.groupBy("shard", "part").cogroup(spread.groupBy("shard", "part")).applyInPandas(pair, _OUT)
-    found = materialize(found)  # the search is the costly part: once, whatever the plan makes of the joins
+    # the search is the costly part: once, whatever the plan makes of the joins
+    found = materialize(asked.groupBy("shard", "part").cogroup(sharded.groupBy("shard", "part")).applyInPandas(pair, _OUT))
     rank = F.when(F.col("kind").isin("full", "acronym"), 3).when(F.col("kind") == "short", 2).when(F.col("kind") == "cut", 1).otherwise(0)
     top = found.groupBy("v").agg(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "score", (-F.col("ref")).alias("neg"), "kind", "rivals")), asc=False).alias("w"))
     first, second = F.get("w", F.lit(0)), F.get("w", F.lit(1))
     tie = (first["rivals"] > 0) | F.coalesce((second["rank"] == first["rank"]) & (second["score"] == first["score"]), F.lit(False))
     won = top.where(~tie).select("v", (-first["neg"]).alias("ref"), first["kind"].alias("kind"), first["score"].alias("score"))
-    out = values.join(F.broadcast(exact) if n <= max_broadcast else exact, F.col("v") == F.col("t"), "left").join(won, "v", "left")
+    out = values.join(exact, F.col("v") == F.col("t"), "left").join(won, "v", "left")
     return out.select(
         F.col("v").alias("value"),
         F.coalesce("exact", "ref").alias("ref"),

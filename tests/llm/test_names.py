@@ -131,7 +131,7 @@ def test_canonical_list(spark):
         BASE: (1, "exact"), "Int J Gidonheim Ethnogr": (1, "exact"), "Int. Jrnl Gidonheim Ethnography": (1, "full"), f"{BASE} Lett.": (2, "full"), "gjai": (1, "acronym"),
         "dup": (None, None), "Acta Zed Optcis": (3, "full"), "Acta Xan Optics": (None, None), "": (None, None), "in press": (None, None),
     }
-    sharded = {r.value: (r.ref, r.kind) for r in map_values(d, "journal_name", ref, var, max_broadcast=2).collect()}
+    sharded = {r.value: (r.ref, r.kind) for r in map_values(d, "journal_name", ref, var, per_shard=2).collect()}
     assert sharded == got
     assert map_values(d.limit(0), "journal_name", ref, var).count() == 0
     assert map_values(d, "journal_name", ref.limit(0), var.limit(0)).where("ref is not null").count() == 0
