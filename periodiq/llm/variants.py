@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -139,6 +140,11 @@ def _two_words(a: Name, b: Name, seen: Counter) -> bool:
     return False
 
 
+@lru_cache(maxsize=1 << 16)
+def _read(name: str) -> Name:
+    return read_name(name)
+
+
 def name_classes(read: DataFrame) -> DataFrame:
     """(key, class) of every key of read_strings."""
     keys = read.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.max_by("s", F.struct(F.length("s"), F.col("s"))).alias("longest"))
@@ -154,22 +160,24 @@ def name_classes(read: DataFrame) -> DataFrame:
     telling = F.transform(F.filter("r", lambda x: ~x["dull"]), lambda x: x["rep"])
     split = F.flatten(F.transform("t", lambda x: F.flatten(F.transform(F.filter("t", lambda y: y != x), lambda y: F.transform(marks(y), lambda m: F.concat(x, F.lit("|"), m))))))
     ranked = ranked.select("key", F.col("r")[0]["rep"].alias("rarest"), telling.alias("t"))
-    blocks = ranked.select("key", F.explode(F.array_distinct(F.concat(F.array("rarest"), split))).alias("block"))
+    blocks = ranked.select("key", "rarest", F.explode(F.array_distinct(F.concat(F.array("rarest"), split))).alias("block"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # blocks arrive in order; most are tiny, so they share frames
-        at, held, out = None, [], []
+        at, held, words, out = None, [], set(), []
 
         def close() -> None:
-            if len(held) > 1:
-                out.extend(e[:2] for e in cluster_names([(k, read_name(t), n) for k, t, n in held]) if e[2] != "hub")
+            # keys of one rarest word have all met in its own block
+            if len(held) > 1 and (len(words) > 1 or at in words):
+                out.extend(e[:2] for e in cluster_names([(k, _read(t), n) for k, t, n in held]) if e[2] != "hub")
 
         for pdf in batches:
-            for block, k, t, n in zip(*(pdf[c].tolist() for c in ("block", "key", "longest", "n")), strict=True):
+            for block, rarest, k, t, n in zip(*(pdf[c].tolist() for c in ("block", "rarest", "key", "longest", "n")), strict=True):
                 if block != at:
                     close()
-                    at, held = block, []
+                    at, held, words = block, [], set()
                 held.append((k, t, n))
+                words.add(rarest)
             if out:
                 yield pd.DataFrame(out, columns=["key", "hub"])
                 out = []
@@ -177,7 +185,7 @@ def name_classes(read: DataFrame) -> DataFrame:
         yield pd.DataFrame(out, columns=["key", "hub"])
 
     ordered = blocks.join(keys, "key").repartition("block").sortWithinPartitions("block", "key")
-    edges = ordered.select("block", "key", "longest", "n").mapInPandas(run, "key string, hub string")
+    edges = ordered.select("block", "rarest", "key", "longest", "n").mapInPandas(run, "key string, hub string")
     return classes_of(keys.select("key"), materialize(edges.where("key <> hub").distinct()))
 
 
