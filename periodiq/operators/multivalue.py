@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,17 +44,21 @@ _INITIALS = re.compile(r"^(?:[^\W\d_]\.?[-\s]?){1,4}$")
 _SUFFIX = re.compile(r"^(?:jr|sr|ii|iii|iv)\.?$", re.I)
 
 
+@lru_cache(maxsize=8)
+def _ends(s: str) -> dict[int, int]:
+    """End of every brace that closes, by where it opens: one pass, however malformed the text."""
+    out, opened = {}, []
+    for j, c in enumerate(s):
+        if c == "{":
+            opened.append(j)
+        elif c == "}" and opened:
+            out[opened.pop()] = j + 1
+    return out
+
+
 def _bracket(s: str, i: int) -> int:
     """End of the balanced braces that open at i, or -1."""
-    depth = 0
-    for j in range(i, len(s)):
-        if s[j] == "{":
-            depth += 1
-        elif s[j] == "}":
-            depth -= 1
-            if not depth:
-                return j + 1
-    return -1
+    return _ends(s).get(i, -1)
 
 
 def _split(s: str, delimiter: re.Pattern[str]) -> tuple[list[tuple[str, bool]], bool]:
@@ -228,7 +233,7 @@ def split_values(df: DataFrame, key: str = "entry_id", authors: str = "authors",
     """
     d = df.select(F.col(key).alias("_key"), F.col(authors).alias("authors"), F.col(issn).alias("issn"))
     d = d.withColumn("authors", F.when(F.col("authors").rlike(r"(?i)[,;|/&\n]|\sand\s"), F.col("authors")))
-    d = d.withColumn("issn", F.when(F.col("issn").rlike(r"(?i)[,;|/&\n]|\sand\s|\d[\dx]\W+\d"), F.col("issn")))
+    d = d.withColumn("issn", F.when(F.col("issn").rlike(r"(?is)[,;|/&\n]|\sand\s|\d[\dx]\W+\d|\d{4}.?\d{3}[\dx].*\d{4}.?\d{3}[\dx]"), F.col("issn")))
     d = d.where("authors is not null or issn is not null")
     kind = df.schema[key].dataType.simpleString()
     run = _explode_batches({"authors": parse_persons, "issn": parse_issns}, "_key")

@@ -118,6 +118,26 @@ def candidate_summary(df: DataFrame, key: str, *fields: str) -> DataFrame:
     return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("candidates"))
 
 
+def enabled(sources: DataFrame, flag: Column) -> DataFrame:
+    """Sources whose flag is set; a blank one is not (FLT-21, FLT-22)."""
+    return sources.where(F.coalesce(F.trim(flag), F.lit("")) != "")
+
+
+def needs_fallback(expanded: Column, verdict: Column, confidence: Column, found: Column) -> Column:
+    """Whether an acronym is worth a second search: not yet expanded, and unknown, unsure or without any result (FLT-23)."""
+    return ~expanded & (verdict.isNull() | (F.lower(verdict) == "unknown") | (F.coalesce(confidence, F.lit(0.0)) < 0.3) | (found == 0))
+
+
+def memoized(entries: DataFrame, name: str, verdicts: DataFrame) -> DataFrame:
+    """Entries with the verdict of their name, found once per distinct name (JN-24). verdicts: (venue, verdict), one row per venue."""
+    return entries.withColumn("venue", F.lower(F.trim(name))).join(verdicts, "venue", "left")
+
+
+def changed_since(files: DataFrame, last: Column) -> DataFrame:
+    """Files of a binaryFile scan that were changed after the last synchronisation; all if there was none (FD-08)."""
+    return files.where(F.coalesce(F.col("modificationTime") > last, F.lit(True)))
+
+
 def with_entry(payload: Column, **extra: Column) -> Column:
     """A struct with further fields (FA-08)."""
     for k, v in extra.items():

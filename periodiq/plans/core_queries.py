@@ -36,12 +36,17 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return split_values(table(spark, sf, "bibtex_entries")).select("entry_id", "field_name", "pos", "item")
 
 
+def p5_flagged(spark: SparkSession, sf: str) -> DataFrame:
+    return split_values(table(spark, sf, "bibtex_entries")).groupBy("field_name", "error").agg(F.count_distinct("entry_id").alias("fields"), F.count("*").alias("items"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_changed_fields": p1_changed_fields,
     "p2_found": p2_found,
     "p2_loaded": p2_loaded,
     "p5_found": p5_found,
+    "p5_flagged": p5_flagged,
 }
 
 _P1_ROWS = r"""

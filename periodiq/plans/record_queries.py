@@ -253,3 +253,19 @@ def retried_entries(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_id, CASE WHEN value > 90 THEN 'timeout' WHEN user_id % 600 = 429 THEN 'rate_limited' WHEN user_id % 600 = 404 THEN 'not_found' WHEN user_id % 600 >= 400 THEN 'error' ELSE 'found' END AS status FROM events")
 def mapped_statuses(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", mapped_status(F.col("value"), F.col("user_id") % 600, 90.0).alias("status"))
+
+
+@query("SELECT name, coalesce(trim(base_url), '') <> '' AS linked FROM data_sources WHERE coalesce(trim(base_url), '') <> ''")
+def enabled_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return records.enabled(table(spark, sf, "data_sources"), F.col("base_url")).select("name", F.lit(True).alias("linked"))
+
+
+@query(f"WITH {_RESULTS}, v AS (SELECT venue, min(verdict) AS verdict FROM res GROUP BY 1) SELECT e.entry_id, v.verdict FROM bibtex_entries e LEFT JOIN v ON lower(trim(e.journal_name)) = v.venue")
+def memoized_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    v = _results(spark, sf).groupBy("venue").agg(F.min("verdict").alias("verdict"))
+    return records.memoized(table(spark, sf, "bibtex_entries").select("entry_id", "journal_name"), "journal_name", v).select("entry_id", "verdict")
+
+
+@query(f"WITH {_RESULTS} SELECT id, source_name <> 'doaj' AND (verdict IS NULL OR confidence < 0.3) AS again FROM res")
+def fallback_results(spark: SparkSession, sf: str) -> DataFrame:
+    return _results(spark, sf).select("id", records.needs_fallback(F.col("source_name") == "doaj", F.col("verdict"), F.col("confidence"), F.lit(1)).alias("again"))

@@ -79,3 +79,9 @@ def test_rows(spark):
     assert got[:6] == [(1, "authors", 1, "A. Bo"), (1, "authors", 1, "A. Bo"), (1, "authors", 2, "C. Do"), (1, "authors", 2, "C. Do"), (1, "issn", 1, "1234-5679"), (1, "issn", 2, "2049-3630")]
     assert [g[2] for g in got[6:]] == list(range(1, 5001))
     assert split_values(d.limit(0)).count() == 0
+
+
+def test_labelled_numbers_without_delimiter_and_very_malformed_braces(spark):
+    d = spark.createDataFrame([(1, None, "12345678 (print) 87654321 (online)"), (2, "{" * 40_000 + "A and B", None)], "entry_id bigint, authors string, issn string")
+    got = [(r.entry_id, r.pos, r.item) for r in split_values(d).orderBy("entry_id", "pos").collect()]
+    assert got[:2] == [(1, 1, "1234-5678"), (1, 2, "8765-4321")]
