@@ -93,13 +93,17 @@ def cluster_names(names: list[tuple[str, Name, int]]) -> list[tuple[str, str, st
     seen = Counter(t for _, n, _ in names for t in n.tokens)
     short = {t for t in seen if t.endswith(".") or len(t) < 4}
     order = sorted(names, key=lambda r: (r[1].cut, -len(r[1].tokens), sum(t in short for t in r[1].tokens), -r[2], -sum(map(len, r[1].tokens)), r[0]))
-    hubs: list[tuple[str, Name]] = []
+    hubs: list[tuple[str, Name, str]] = []
     out: list[tuple[str, str, str]] = []
     for key, name, _ in order:
+        longest, size = max(name.tokens, key=len), len(name.tokens)
         full: list[tuple[float, str]] = []
         part: list[tuple[float, str, str]] = []
         loose: list[tuple[float, str, Name]] = []
-        for hub_key, hub in hubs:
+        for hub_key, hub, hub_longest in hubs:
+            # whatever the fit, each word of the shorter name has a partner: ask for its longest one first
+            if not (any(token_match(longest, u) for u in hub.tokens) if size <= len(hub.tokens) else any(token_match(hub_longest, u) for u in name.tokens)):
+                continue
             fit = align(name, hub)
             if fit.kind == "full" and not _two_words(name, hub, seen):
                 full.append((fit.score, hub_key))
@@ -119,7 +123,7 @@ def cluster_names(names: list[tuple[str, Name, int]]) -> list[tuple[str, str, st
         if loose and not best and all(_extends(h, loose[0][2]) for _, _, h in loose[1:]):
             out.append((key, loose[0][1], "loose"))
             continue
-        hubs.append((key, name))
+        hubs.append((key, name, longest))
         out.append((key, key, "hub"))
     return out
 
