@@ -4,8 +4,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from periodiq.llm import variants
 from periodiq.llm.canonical import BKTree, Reference, ShardedTree, levenshtein, map_values
-from periodiq.llm.names import align, near, read_name
+from periodiq.llm.names import align, near, near_twice, read_name, token_match, word_partners
 from periodiq.llm.variants import link_variants, string_classes
 
 BASE = "International Journal of Gidonheim Ethnography"
@@ -135,3 +136,44 @@ def test_canonical_list(spark):
     assert sharded == got
     assert map_values(d.limit(0), "journal_name", ref, var).count() == 0
     assert map_values(d, "journal_name", ref.limit(0), var.limit(0)).where("ref is not null").count() == 0
+
+
+def _misspelt(rng, w):
+    i = rng.randrange(len(w))
+    return rng.choice((w, w[:i] + w[i + 1 :], w[:i] + rng.choice("aeikt") + w[i:], w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :], w[: max(3, i)], w + "s", w + ".")) or w
+
+
+@pytest.mark.parametrize("size", [8, 20, 40, 150])
+def test_word_partners_are_all_that_match(size):
+    rng = random.Random(size)
+    stems = ["".join(rng.choice("aeiktn") for _ in range(rng.randint(3, 11))) for _ in range(size)]
+    words = list(dict.fromkeys([*stems, *(_misspelt(rng, _misspelt(rng, w)) for w in stems), "international", "int.", "intl", "workshop", "workshops", "w"]))
+    got = word_partners(words)
+    for w in words:
+        plain = w.rstrip(".")
+        want = {u for u in words if u == w or token_match(w, u) or plain + "s" == u.rstrip(".") or u.rstrip(".") + "s" == plain}
+        assert set(got[w]) == want and len(got[w]) == len(want)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("ab", min_size=5, max_size=8), st.text("ab", min_size=5, max_size=8))
+def test_two_edits_inside_words(a, b):
+    a, b = f"c{a}d", f"c{b}d"
+    assert near_twice(a, b) == (abs(len(a) - len(b)) <= 2 and dl(a, b) <= 2)
+
+
+def test_a_block_of_different_names_is_not_aligned_pair_by_pair(monkeypatch):
+    rng = random.Random(7)
+    places = ["Th" + "".join(rng.choice("aeiou") + rng.choice("bdgklmnprstvz") for _ in range(4)) for _ in range(240)]
+    names = [f"International {p} Journal of Virology" for p in places]
+    asked = []
+    monkeypatch.setattr(variants, "align", lambda a, b: asked.append(1) or align(a, b))
+    out = variants.cluster_names([(" ".join(n.tokens), n, 1) for n in map(read_name, names)])
+    assert len(out) == len(names)
+    assert len(asked) < 5 * len(names)  # every pair would be half of 240 for each
+
+
+def test_a_key_holds_what_an_alignment_looks_at(spark):
+    names = ["The Annals of Virology of Thule and", "Journal of the Thule Society for …", "Int. J. Thule Virology (IJTV)", "Virology: Thule Letters"]
+    for r in variants.read_strings(spark.createDataFrame([(n,) for n in names], "s string")).collect():
+        assert variants._name_of(r["key"], r["joints"]) == read_name(r["s"])._replace(acronym="")
