@@ -3,8 +3,9 @@ from datetime import datetime
 from itertools import product
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from periodiq.llm.linking import fit_logistic, link_entities, retrieve
+from periodiq.llm.linking import _met, _ordered, fit_logistic, link_entities, retrieve
 from periodiq.llm.survivor import claim_facts, dominated_values, field_truths, judged_true, latent_truth, survivors
 from periodiq.llm.venues import venue_classes
 
@@ -65,6 +66,21 @@ def test_pruned_retrieval_equals_scoring_of_all_pairs(spark):
     assert got == {w for w in want if w[2] >= 0.6 * best[w[0]]}
 
 
+def test_records_of_common_words_meet_by_chains(spark):
+    # two words of all records and one of six: by single terms all 14,400 pairs would meet
+    rng = random.Random(8)
+    words = {"a": 2.0, "b": 1.9} | {f"{k}{i}": w for k, w in (("c", 1.8), ("d", 1.7), ("e", 1.6)) for i in range(6)}
+    side = lambda at: {at + i: ["a", "b"] + [f"{k}{rng.randrange(6)}" for k in "cde"] for i in range(120)}
+    docs, asked = side(0), side(1000)
+    frame = lambda x: spark.createDataFrame([(e, t, "n", 1, words[t]) for e, ts in x.items() for t in ts], "ent bigint, t string, kind string, df int, w double")
+    want = {(q, c) for q, ts in asked.items() for c, us in docs.items() if sum(words[t] for t in set(ts) & set(us)) >= 0.7 * sum(words[t] for t in ts) - 1e-9}
+    for per_row, longest in ((1, 1), (1, 2), (4, 3), (1, 9)):
+        assert {(r.q, r.c) for r in retrieve(frame(docs), frame(asked), 0.7, per_row=per_row, longest=longest).collect()} == want
+    q = _ordered(frame(asked), "q").withColumn("theta", F.aggregate("ts", F.lit(0.0), lambda a, x: a + x["w"]) * 0.7 - 1e-9)
+    met = [_met(q, _ordered(frame(docs), "c"), 1, n).count() for n in (1, 9)]
+    assert len(want) > 100 and met[0] == 120 * 120 and met[1] < 2 * len(want)
+
+
 def test_links_found_by_common_words_alone(spark):
     # every place is misspelt beyond correction, so only words of a quarter of all records are shared
     rng, places = random.Random(3), []
