@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from periodiq.llm.linking import _met, _ordered, fit_logistic, link_entities, retrieve
-from periodiq.llm.survivor import claim_facts, dominated_values, field_truths, judged_true, latent_truth, survivors
+from periodiq.llm.survivor import _supports, claim_facts, dominated_values, field_truths, judged_true, latent_truth, survivors
 from periodiq.llm.venues import venue_classes
 
 PLACES = ["Gidonheim", "Pakolund", "Zirbova", "Mukatres", "Denifol", "Wostrina", "Halubek", "Torvimar"]
@@ -201,3 +201,9 @@ def test_dominated_values_against_all_pairs(spark):
     words = spark.createDataFrame([(v, n, t, df[t]) for v, n in values.items() for t in v.split()], "v string, n int, token string, df int")
     want = {v for v, n in values.items() if any(m >= 2 * n and set(v.split()) < set(w.split()) for w, m in values.items())}
     assert {r.v for r in dominated_values(words).collect()} == want
+
+
+def test_values_are_compared_once():
+    _supports.cache_clear()
+    assert all(_supports("publisher", "Gidon Pr.", "Gidon Press") and not _supports("publisher", "Pako Verlag", "Gidon Press") for _ in range(50))
+    assert _supports.cache_info().misses == 2

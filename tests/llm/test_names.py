@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from periodiq.llm import variants
 from periodiq.llm.canonical import BKTree, Reference, ShardedTree, levenshtein, map_values
 from periodiq.llm.names import align, near, near_twice, read_name, token_match, word_partners
-from periodiq.llm.variants import link_variants, string_classes
+from periodiq.llm.variants import asked_blocks, link_variants, string_classes
 
 BASE = "International Journal of Gidonheim Ethnography"
 
@@ -177,3 +177,9 @@ def test_a_key_holds_what_an_alignment_looks_at(spark):
     names = ["The Annals of Virology of Thule and", "Journal of the Thule Society for …", "Int. J. Thule Virology (IJTV)", "Virology: Thule Letters"]
     for r in variants.read_strings(spark.createDataFrame([(n,) for n in names], "s string")).collect():
         assert variants._name_of(r["key"], r["joints"]) == read_name(r["s"])._replace(acronym="")
+
+
+def test_blocks_of_the_same_keys_are_asked_once(spark):
+    held = {"wa": [("k1", "wa"), ("k2", "wa")], "wa|x": [("k1", "wa"), ("k2", "wa")], "wb": [("k3", "wb")], "p|q": [("k1", "wa"), ("k3", "wb")], "q|p": [("k3", "wb"), ("k1", "wa")], "r|s": [("k1", "wa"), ("k2", "wa"), ("k3", "wb")]}
+    blocks = spark.createDataFrame([(k, w, b) for b, ks in held.items() for k, w in ks], "key string, rarest string, block string")
+    assert sorted(r.block for r in asked_blocks(blocks).collect()) == ["p|q", "r|s", "wa"]
